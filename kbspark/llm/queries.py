@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simhash, sstable, trie_bpe
+from . import packing, quality_rules, simhash, sstable, trie_bpe
 from .common import table
 
 
@@ -40,11 +40,18 @@ def op6_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
 
 
+def op7_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("failed_rules")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sstable": op2_sstable,
     "op4_best_fit": op4_best_fit,
     "op5_trie_bpe": op5_trie_bpe,
     "op6_simhash_bktree": op6_simhash_bktree,
+    "op7_risk_rules": op7_risk_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_risk_rules": quality_rules.oracle(),
+}
