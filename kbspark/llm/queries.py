@@ -7,9 +7,10 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, quality_rules, simhash, sstable, trie_bpe
-from .common import table
+from . import language_id, packing, quality_rules, simhash, sstable, trie_bpe
+from .common import fold, held_out, table
 
 
 def tokenizer(name: str) -> str:
@@ -28,6 +29,13 @@ def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(manifest)
 
 
+def op3_piece_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, pieces = table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model")
+    model = language_id.learn(docs, pieces, fold(F.col("doc_id"), 4) != 2)
+    found = language_id.identify(docs, model, pieces)
+    return found.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
@@ -46,6 +54,7 @@ def op7_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sstable": op2_sstable,
+    "op3_piece_unigrams": op3_piece_unigrams,
     "op4_best_fit": op4_best_fit,
     "op5_trie_bpe": op5_trie_bpe,
     "op6_simhash_bktree": op6_simhash_bktree,
