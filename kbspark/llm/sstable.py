@@ -256,7 +256,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
 def read_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     """Reads shards back: doc_id, start, n_tokens, ids_crc32, shard and, if asked for, ids (binary,
     little-endian unsigned 32-bit integers). One row for each document that was written."""
-    shards = manifest.select("path", "start").repartitionByRange(F.col("start"), F.col("path"))
+    # As many partitions as shards: the rows are tiny, so Spark would put them all in one task.
+    shards = manifest.select("path", "start").repartitionByRange(max(1, manifest.count()), F.col("start"), F.col("path"))
     kinds = {"doc_id": pa.int64(), "start": pa.int64(), "n_tokens": pa.int64(), "ids_crc32": pa.int64(), "shard": pa.string()} | ({"ids": pa.binary()} if with_ids else {})
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
