@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, quality_rules, simhash, sstable, trie_bpe
+from . import language_id, packing, pu_quality, quality_rules, simhash, sstable, trie_bpe
 from .common import fold, held_out, table
 
 
@@ -24,6 +24,13 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    network, _ = pu_quality.learn(docs, labels, fold(F.col("doc_id"), 3) != 1)
+    found = pu_quality.score(docs, network)
+    return found.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
+
+
 def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = sstable.write_shards(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
     return sstable.read_shards(manifest)
@@ -53,6 +60,7 @@ def op7_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nnpu": op1_nnpu,
     "op2_sstable": op2_sstable,
     "op3_piece_unigrams": op3_piece_unigrams,
     "op4_best_fit": op4_best_fit,
