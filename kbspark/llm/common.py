@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Words: runs of anything but the ASCII white space (space, and 0x09 to 0x0D).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -81,3 +82,24 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
         held += int(size)
     if first < batch.num_rows:
         yield batch.slice(first)
+
+
+def annotated(docs: DataFrame, text_col: str, names: dict[str, str], make) -> DataFrame:
+    """All columns of ``docs`` and new ones (name: type), which ``make()`` computes on the executors:
+    it returns a function from a list of texts to one tuple of values for each. Names that
+    ``docs`` has already are an error."""
+    taken = {c.lower() for c in docs.columns} & {n.lower() for n in names}
+    if taken:
+        raise ValueError(f"columns {sorted(taken)} are there already")
+
+    def run(batches):
+        compute = make()
+        for batch in batches:
+            for part in slices(batch, text_col):
+                new = list(zip(*compute(part.column(text_col).to_pylist()), strict=True))
+                yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, new)], names=[*part.schema.names, *names])
+
+    schema = StructType(list(docs.schema.fields))
+    for name, kind in names.items():
+        schema = schema.add(name, kind)
+    return docs.mapInArrow(run, schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import annotated
 
 #: Documents of each language that the probabilities are learned from, at most (about).
 DOCS_PER_LANGUAGE = 400
@@ -246,6 +246,19 @@ def learn(docs: DataFrame, pieces_path: str, train: Column, per_language: int =
 _SCORERS: dict[str, Model] = {}
 
 
+def _scorer(spark, model: Model, pieces_path: str):
+    # The probabilities have a fixed size: languages times pieces of the vocabulary.
+    sent, key = spark.sparkContext.broadcast((model.languages, model.p, model.prior)), uuid.uuid4().hex
+
+    def make():
+        if key not in _SCORERS:
+            _SCORERS.clear()
+            _SCORERS[key] = Model(Pieces.load(pieces_path), *sent.value)
+        return _SCORERS[key].predict
+
+    return make
+
+
 def identify(docs: DataFrame, model: Model, pieces_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, lang_pred, score (posterior probability of the language).
 
@@ -253,18 +266,12 @@ def identify(docs: DataFrame, model: Model, pieces_path: str, id_col: str = "doc
     whatever identifier comes along (null and repeated ones too). Without any learned
     language everything is ``und``.
     """
-    # The probabilities have a fixed size: languages times pieces of the vocabulary.
-    sent, key = docs.sparkSession.sparkContext.broadcast((model.languages, model.p, model.prior)), uuid.uuid4().hex
+    whole = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return annotated(whole, "text", {"lang_pred": "string", "score": "double"}, _scorer(docs.sparkSession, model, pieces_path)).drop("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Model(Pieces.load(pieces_path), *sent.value)
-        own = _SCORERS[key]
-        for batch in batches:
-            for part in slices(batch, "text"):
-                languages, scores = zip(*own.predict(part.column("text").to_pylist()), strict=True)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+def keep_identified(docs: DataFrame, model: Model, pieces_path: str, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text has a language with at least that posterior."""
+    names = {"_lang_pred": "string", "_lang_score": "double"}
+    found = annotated(docs, text_col, names, _scorer(docs.sparkSession, model, pieces_path))
+    return found.filter((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= least)).drop(*names)

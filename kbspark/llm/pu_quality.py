@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import annotated
 
 #: Positives, and unlabelled documents, that the network is fitted to, at most (about).
 SAMPLE = 12_000
@@ -171,21 +171,29 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPL
 _NETWORKS: dict[str, Network] = {}
 
 
+def _scorer(spark, network: Network):
+    key, state = uuid.uuid4().hex, spark.sparkContext.broadcast(vars(network))  # a few thousand numbers
+
+    def make():
+        if key not in _NETWORKS:
+            _NETWORKS.clear()
+            _NETWORKS[key] = Network(**state.value)
+        return lambda texts: [(float(s),) for s in _NETWORKS[key].score(np.array([features(t) for t in texts]))]
+
+    return make
+
+
 def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, score (0 to 1; higher: good likelier) and predicted (1 from 0.5 on).
 
     Only the text counts. Null texts score as empty ones; null and repeated identifiers pass through.
     """
-    key, state = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(vars(network))  # a few thousand numbers
+    whole = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = annotated(whole, "text", {"score": "double"}, _scorer(docs.sparkSession, network)).drop("text")
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _NETWORKS:
-            _NETWORKS.clear()
-            _NETWORKS[key] = Network(**state.value)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                own = _NETWORKS[key].score(np.array([features(t) for t in part.column("text").to_pylist()]))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own, pa.float64()), pa.array((own >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+def keep_good(docs: DataFrame, network: Network, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text scores at least that."""
+    found = annotated(docs, text_col, {"_quality_score": "double"}, _scorer(docs.sparkSession, network))
+    return found.filter(F.col("_quality_score") >= least).drop("_quality_score")

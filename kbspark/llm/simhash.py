@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import annotated, slices, stored
 from .graphs import components
 
 BITS = 64
@@ -241,6 +241,15 @@ def links(prints: DataFrame, radius: int = 3, shard_size: int = SHARD) -> DataFr
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _named(least: DataFrame, radius: int) -> DataFrame:
+    """Per distinct fingerprint (columns fp and least): the smallest ``least`` of its component.
+    Both sides of each join are written, so that Spark can split a hot key."""
+    roots = components(links(least, radius))
+    named = stored(least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    names = stored(named.groupBy("root").agg(F.min("least").alias("first")), "names")
+    return stored(named.join(names, "root").select("fp", "first"), "components")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits) and component_id (the smallest doc_id that links
     reach, itself included) for every row.
@@ -249,12 +258,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 3, id_col: st
     with a null identifier get a fingerprint and take part in links; they never name a component
     unless all of it is null. Repeated rows stay. An empty table gives an empty one.
     """
-    kind = docs.schema[id_col].dataType
     prints = stored(fingerprints(docs, words, id_col, text_col), "fingerprints")
     least = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
-    roots = components(links(least, radius))
-    named = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = stored(named, "roots")  # both sides of each join are written: a hot key is then split
-    names = stored(named.groupBy("root").agg(F.min("least").alias("component_id")), "names")
-    by_print = stored(named.join(names, "root").select("fp", "component_id"), "components")
-    return prints.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component_id").cast(kind))
+    found = prints.join(_named(least, radius), "fp")
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, words: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component with all its columns: the one with the smallest identifier, null
+    ones last; of rows that share it, one. Fingerprints and row numbers are written with the
+    rows, so that all steps see the same numbers."""
+    def make():
+        return lambda texts: [(int(np.uint64(fingerprint((t or "").encode(), words)).astype(np.int64)),) for t in texts]
+
+    clash = {"_row", "_fp"} & set(docs.columns)
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} are there already")
+    rows = stored(annotated(docs, text_col, {"_fp": "long"}, make).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    order = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
+    least = stored(rows.select(F.col("_fp").alias("fp"), order.alias("o")).groupBy("fp").agg(F.min("o").alias("least")), "prints")
+    first = _named(least, radius).select(F.col("first.row").alias("_row")).distinct()
+    return rows.join(first, "_row", "left_semi").select(*docs.columns)
