@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, pu_quality, quality_rules, simhash, sstable, trie_bpe
+from . import language_id, ngram_lm, packing, pu_quality, quality_rules, simhash, sstable, trie_bpe
 from .common import fold, held_out, table
 
 
@@ -59,6 +59,13 @@ def op7_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("failed_rules")
 
 
+def op8_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = ngram_lm.learn(docs, fold(F.col("doc_id"), 7) != 2)
+    found = ngram_lm.score(docs, model)
+    return found.withColumn("held_out", held_out(F.col("doc_id"), 7, 2))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nnpu": op1_nnpu,
     "op2_sstable": op2_sstable,
@@ -67,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_trie_bpe": op5_trie_bpe,
     "op6_simhash_bktree": op6_simhash_bktree,
     "op7_risk_rules": op7_risk_rules,
+    "op8_elias_fano_lm": op8_elias_fano_lm,
 }
 
 ORACLE_SQL: dict[str, str] = {
