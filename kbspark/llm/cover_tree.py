@@ -116,18 +116,22 @@ def dual(a: CoverTree, b: CoverTree, eps: float, same: bool) -> Iterator[tuple[i
     todo = [(np.array([0]), np.array([0]), same)]
     while todo:
         left, right, own = todo.pop()
-        away = distances(a.points[a.centre[left]], b.points[b.centre[right]])
-        reach = a.radius[left][:, None] + b.radius[right][None, :]
-        alive = away <= reach + (eps + SLACK)
+        # One product and one comparison leave few candidates, for which the bounds are worked out.
+        dots = a.points[a.centre[left]] @ b.points[b.centre[right]].T
+        widest = min(2.0, float(a.radius[left].max() + b.radius[right].max()) + eps + SLACK)
+        rows, columns = np.nonzero(dots >= 1 - widest * widest / 2 - 1e-12)
         if own:
-            alive &= np.arange(len(left))[:, None] <= np.arange(len(right))[None, :]
-        for i, j in zip(*np.nonzero(alive), strict=True):
+            rows, columns = rows[rows <= columns], columns[rows <= columns]
+        away = np.sqrt(np.maximum(2 - 2 * dots[rows, columns], 0))
+        reach = a.radius[left][rows] + b.radius[right][columns]
+        alive = np.flatnonzero(away <= reach + (eps + SLACK))
+        for i, j, far, wide in zip(rows[alive].tolist(), columns[alive].tolist(), away[alive].tolist(), reach[alive].tolist(), strict=True):
             x, y = left[i], right[j]
             self_pair = own and i == j
             if self_pair and a.stop[x] - a.first[x] == 1:
                 continue
             # The furthest vectors of a node are up to twice its radius apart.
-            if (2 * a.radius[x] if self_pair else away[i, j] + reach[i, j]) <= eps - SLACK or reach[i, j] == 0:
+            if (2 * a.radius[x] if self_pair else far + wide) <= eps - SLACK or wide == 0:
                 yield int(a.first[x]), int(a.stop[x]), int(b.first[y]), int(b.stop[y])
                 continue
             kids = [np.arange(t.child[k], t.last[k]) if t.last[k] > t.child[k] else np.array([k]) for t, k in ((a, x), (b, y))]

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, language_id, ngram_lm, packing, pu_quality, quality_rules, simhash, sstable, trie_bpe
+from . import cover_tree, language_id, ngram_lm, packing, pu_quality, quality_rules, simhash, sstable, token_rollup, trie_bpe
 from .common import fold, held_out, table
 
 
@@ -66,6 +66,10 @@ def op8_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", held_out(F.col("doc_id"), 7, 2))
 
 
+def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rollup.maintained(table(spark, sf_dir, "documents"))
+
+
 def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.neighbours(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
@@ -79,9 +83,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash_bktree": op6_simhash_bktree,
     "op7_risk_rules": op7_risk_rules,
     "op8_elias_fano_lm": op8_elias_fano_lm,
+    "op9_token_rollup": op9_token_rollup,
     "op10_cover_tree": op10_cover_tree,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_risk_rules": quality_rules.oracle(),
+    "op9_token_rollup": token_rollup.ORACLE,
 }
