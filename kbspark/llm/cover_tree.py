@@ -107,6 +107,11 @@ class CoverTree:
         return tree, order
 
 
+def _split(tree: CoverTree, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    single = tree.radius[nodes] == 0
+    return nodes[single], nodes[~single]
+
+
 def dual(a: CoverTree, b: CoverTree, eps: float, same: bool) -> Iterator[tuple[int, int, int, int]]:
     """Ranges of vectors (first and stop in a, first and stop in b) all of whose pairs are near,
     or single pairs that may be; where both are the same tree, each pair of vectors comes once,
@@ -134,8 +139,12 @@ def dual(a: CoverTree, b: CoverTree, eps: float, same: bool) -> Iterator[tuple[i
             if (2 * a.radius[x] if self_pair else far + wide) <= eps - SLACK or wide == 0:
                 yield int(a.first[x]), int(a.stop[x]), int(b.first[y]), int(b.stop[y])
                 continue
-            kids = [np.arange(t.child[k], t.last[k]) if t.last[k] > t.child[k] else np.array([k]) for t, k in ((a, x), (b, y))]
-            todo.append((kids[0], kids[1], self_pair))
+            # Single vectors and wider nodes go apart, so that few wide nodes do not widen all bounds.
+            kids = [_split(t, np.arange(t.child[k], t.last[k]) if t.last[k] > t.child[k] else np.array([k])) for t, k in ((a, x), (b, y))]
+            for m, one in enumerate(kids[0]):
+                for k, other in enumerate(kids[1]):
+                    if len(one) and len(other) and not (self_pair and m > k):
+                        todo.append((one, other, self_pair and m == k))
 
 
 def links_between(a: CoverTree, b: CoverTree, raw_a, raw_b, weight_a, weight_b, threshold: float, same: bool):
