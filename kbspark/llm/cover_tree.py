@@ -107,9 +107,12 @@ class CoverTree:
         return tree, order
 
 
-def _split(tree: CoverTree, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    single = tree.radius[nodes] == 0
-    return nodes[single], nodes[~single]
+def _kids(tree: CoverTree, node: int) -> list[np.ndarray]:
+    """A node's children: single vectors, then wider nodes, so that a few wide ones among many do
+    not widen the bounds of all."""
+    kids = np.arange(tree.child[node], tree.last[node])
+    single = tree.radius[kids] == 0
+    return [k for k in (kids[single], kids[~single]) if len(k)]
 
 
 def dual(a: CoverTree, b: CoverTree, eps: float, same: bool) -> Iterator[tuple[int, int, int, int]]:
@@ -129,22 +132,23 @@ def dual(a: CoverTree, b: CoverTree, eps: float, same: bool) -> Iterator[tuple[i
             rows, columns = rows[rows <= columns], columns[rows <= columns]
         away = np.sqrt(np.maximum(2 - 2 * dots[rows, columns], 0))
         reach = a.radius[left][rows] + b.radius[right][columns]
-        alive = np.flatnonzero(away <= reach + (eps + SLACK))
-        for i, j, far, wide in zip(rows[alive].tolist(), columns[alive].tolist(), away[alive].tolist(), reach[alive].tolist(), strict=True):
-            x, y = left[i], right[j]
-            self_pair = own and i == j
-            if self_pair and a.stop[x] - a.first[x] == 1:
-                continue
-            # The furthest vectors of a node are up to twice its radius apart.
-            if (2 * a.radius[x] if self_pair else far + wide) <= eps - SLACK or wide == 0:
-                yield int(a.first[x]), int(a.stop[x]), int(b.first[y]), int(b.stop[y])
-                continue
-            # Single vectors and wider nodes go apart, so that few wide nodes do not widen all bounds.
-            kids = [_split(t, np.arange(t.child[k], t.last[k]) if t.last[k] > t.child[k] else np.array([k])) for t, k in ((a, x), (b, y))]
-            for m, one in enumerate(kids[0]):
-                for k, other in enumerate(kids[1]):
-                    if len(one) and len(other) and not (self_pair and m > k):
-                        todo.append((one, other, self_pair and m == k))
+        x, y = left[rows], right[columns]
+        itself = (rows == columns) if own else np.zeros(len(rows), bool)
+        alive = (away <= reach + (eps + SLACK)) & ~(itself & (a.stop[x] - a.first[x] == 1))
+        # The furthest vectors of a node are up to twice its radius apart.
+        whole = alive & ((np.where(itself, reach, away + reach) <= eps - SLACK) | (reach == 0))
+        yield from zip(a.first[x[whole]].tolist(), a.stop[x[whole]].tolist(), b.first[y[whole]].tolist(), b.stop[y[whole]].tolist(), strict=True)
+        open_ = alive & ~whole
+        for node in x[open_ & itself]:
+            kids = _kids(a, node)
+            todo += [(one, other, m == k) for m, one in enumerate(kids) for k, other in enumerate(kids) if m <= k]
+        # Of two nodes the wider one is opened, against all nodes that are left for it at once.
+        wider = open_ & ~itself & (a.radius[x] >= b.radius[y])
+        for row in np.unique(rows[wider]):
+            todo += [(kids, y[wider & (rows == row)], False) for kids in _kids(a, left[row])]
+        wider = open_ & ~itself & ~wider
+        for column in np.unique(columns[wider]):
+            todo += [(x[wider & (columns == column)], kids, False) for kids in _kids(b, right[column])]
 
 
 def links_between(a: CoverTree, b: CoverTree, raw_a, raw_b, weight_a, weight_b, threshold: float, same: bool):
