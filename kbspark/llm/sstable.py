@@ -279,9 +279,10 @@ def read_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
 
 
 def lookup(manifest: DataFrame, doc_ids: list[int]) -> dict[int, list[bytes]]:
-    """Ids of a few documents: the manifest's ranges, then the filter, then binary search."""
+    """Ids of a few documents: the manifest's ranges (a null start is the null identifier's, which comes
+    first), then the filter, then binary search."""
     found: dict[int, list[bytes]] = {}
     for doc_id in doc_ids:
-        for row in manifest.filter((F.col("min_id") <= doc_id) & (F.col("max_id") >= doc_id)).select("path").collect():
+        for row in manifest.filter((F.col("min_id").isNull() | (F.col("min_id") <= doc_id)) & (F.col("max_id") >= doc_id)).select("path").collect():
             found.setdefault(doc_id, []).extend(open_shard(row.path).get(doc_id))
     return found
