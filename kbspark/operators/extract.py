@@ -253,6 +253,40 @@ def pages(paths: DataFrame) -> DataFrame:
     return rows.groupBy("page").agg(F.count("*").alias("file_count"), F.sort_array(F.collect_list("path")).alias("files"))
 
 
+def components(paths: DataFrame) -> DataFrame:
+    """Directories right under ``components/``."""
+    return paths.select(first(F.col("path"), r"(?:^|/)components/([^/]+)/").alias("component")).filter("component is not null").distinct()
+
+
+def stores(files: DataFrame) -> DataFrame:
+    """path, store of files under ``store/`` that define one."""
+    rows = files.filter(F.col("path").rlike("(^|/)store/") & F.col("content").rlike(r"create\s*[<(]|useStore|defineStore"))
+    return rows.select("path", F.regexp_replace(basename(F.col("path")), r"\.[^.]+$", "").alias("store"))
+
+
+def api_types(files: DataFrame, keyword: str, most_apis: int = 50, most_fields: int = 15) -> DataFrame:
+    """path, api, api_path, place, field, type: fields of the request types of documented namespaces
+    whose path holds the keyword; so many of each file and of each type are shown."""
+    shape = r"接口路径：([^\n]+)(?:(?!\*/)[\s\S])*\*/\s*\nexport namespace (\w+)\s*\{((?:(?!\nexport namespace)[\s\S])*)"
+    rows = files.select("path", every(F.col("content"), shape).alias("all"))
+    told = F.filter(F.transform("all", lambda x: F.struct(F.regexp_extract(x, shape, 2).alias("api"), F.trim(F.regexp_extract(x, shape, 1)).alias("api_path"), every(F.regexp_extract(x, r"export interface Req\s*\{([\s\S]*?)\n\s*\}", 1), r"(?m)^\s*\w+\??:\s*[^;]+;").alias("fields"))), lambda a: F.contains(a["api_path"], F.lit(keyword)) & (F.size(a["fields"]) > 0))
+    rows = rows.select("path", F.inline(F.slice(told, 1, most_apis))).select("path", "api", "api_path", F.posexplode(F.slice("fields", 1, most_fields)).alias("place", "f"))
+    return rows.select("path", "api", "api_path", "place", F.regexp_extract("f", r"(\w+)\??:", 1).alias("field"), F.trim(F.regexp_extract("f", r":\s*([^;]+);", 1)).alias("type"))
+
+
+def linkage_rules(files: DataFrame) -> DataFrame:
+    """component, kind (hidden, disabled, dynamic-required), condition, fields of forms."""
+    text, component = F.col("content"), F.element_at(F.concat(F.array(F.lit("")), F.split("path", "/")), -2).alias("component")
+    names = lambda x: every(x, "'([^']+)'", 1)
+    block = F.regexp_extract(text, r"hiddenFields\s*=\s*useMemo\(\(\)\s*=>\s*\{([\s\S]*?)\n\s*\},\s*\[", 1)
+    condition = r"if\s*\(([^)]+)\)\s*\{([^}]+)\}"
+    hidden = F.transform(every(block, condition), lambda x: F.struct(F.lit("hidden").alias("kind"), F.substring(F.trim(F.regexp_extract(x, condition, 1)), 1, 80).alias("condition"), names(x).alias("fields")))
+    disabled = F.transform(every(text, r"disabledFields\s*[:=]\s*\[[^\]]+\]"), lambda x: F.struct(F.lit("disabled").alias("kind"), F.lit("editType").alias("condition"), names(x).alias("fields")))
+    required = F.array(F.struct(F.lit("dynamic-required").alias("kind"), F.lit("requiredFieldList").alias("condition"), F.array_distinct(every(text, r"requiredFieldMap\.(\w+)", 1)).alias("fields")))
+    rows = files.select(component, F.explode(F.concat(hidden, disabled, required)).alias("r"))
+    return rows.select("component", "r.kind", "r.condition", "r.fields").filter(F.size("fields") > 0)
+
+
 def forwards(files: DataFrame) -> DataFrame:
     """path, http_method, target, name of client interfaces: an annotation with an address and a name
     before a bracket on one of the next two lines."""

@@ -227,3 +227,42 @@ def test_stream_upserts(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(source)
         upserts.maintain(stream, lambda: spark.read.schema(schema).parquet(folder), folder, f"{tmp_path}/cp{run}").awaitTermination()
         assert {(r.path, r.content) for r in spark.read.schema(schema).parquet(folder).collect()} == {("a", "new"), ("c", "c")}
+
+
+def test_frontend_records(spark):
+    text = "const hiddenFields = useMemo(() => {\n  if (a.b) { return ['x', 'y'] }\n}, [a])\ndisabledFields: ['z']\nrequiredFieldMap.p requiredFieldMap.p"
+    rows = spark.createDataFrame([("src/form/index.tsx", text), ("src/store/user.ts", "export default create<State>()"), ("src/components/Box/a.tsx", "")], "path string, content string")
+    got = {(r.component, r.kind, r.condition, tuple(r.fields)) for r in extract.linkage_rules(rows).collect()}
+    assert got == {("form", "hidden", "a.b", ("x", "y")), ("form", "disabled", "editType", ("z",)), ("form", "dynamic-required", "requiredFieldList", ("p",))}
+    assert [(r.path, r.store) for r in extract.stores(rows).collect()] == [("src/store/user.ts", "user")]
+    assert [r.component for r in extract.components(rows).collect()] == ["Box"]
+    types = "/** a\n * 接口路径：/x/key/one\n */\nexport namespace One {\n  export interface Req {\n    id?: number;\n    name: string;\n  }\n}\nexport namespace Two {}"
+    got = [(r.api, r.api_path, r.field, r.type) for r in extract.api_types(spark.createDataFrame([("t.ts", types)], "path string, content string"), "key").collect()]
+    assert got == [("One", "/x/key/one", "id", "number"), ("One", "/x/key/one", "name", "string")]
+    buttons = extract.buttons(spark.createDataFrame([("b.ts", "SAVE = 's'\nEND\nDROP = 'd'")], "path string, content string"), "END")
+    assert [(r.name, r.code) for r in buttons.collect()] == [("SAVE", "s")]
+
+
+def test_services(spark, tmp_path):
+    import json
+
+    from kbspark.plans import enrich
+    from kbspark.sources import config
+
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(45)], "id int, text string").coalesce(1)
+    got = enrich.embedded(rows, lambda texts: [[float(len(texts)), float(t[1:])] for t in texts], batch=20).orderBy("id").collect()
+    assert [r.vector for r in got] == [[20.0 if i < 40 else 5.0, float(i)] for i in range(45)]
+    flows = spark.createDataFrame([("a", "**调用服务数：** 4", "p"), ("b", "**调用服务数：** 2", "boom"), ("c", "**调用服务数：** 1", "p")], "path string, body string, prompt string")
+
+    def ask(tier, prompt):
+        if prompt == "boom":
+            raise OSError("no answer")
+        return f"```markdown\n{tier}\n```"
+
+    got = {r.path: (r.status, r.answer) for r in enrich.described(flows, ask).collect()}
+    assert got == {"a": ("generated", "high"), "b": ("failed", None)}
+    path = tmp_path / "c.json"
+    path.write_text(json.dumps({"output_dir": "o", "projects": [{"name": "g", "type": "gateway"}, {"name": "b"}], "queries": [{"query": "q", "expected_hits": ["x"]}]}))
+    loaded = config.Config.of(config.load(str(path)))
+    assert loaded.default_project().name == "b" and [p.name for p in loaded.chosen("g")] == ["g"]
+    assert config.golden_queries(spark, str(path)).first().expected_hits == ["x"]
