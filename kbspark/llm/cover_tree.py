@@ -32,6 +32,10 @@ from .graphs import components
 BLOCK, CENTRES, SAMPLE = 2048, 1024, 8192
 #: Bounds hold up to rounding; pairs this close to the threshold are decided by their exact cosine.
 SLACK = 1e-6
+#: Products that are compared at a time: about what a core's cache holds.
+PART = 1 << 18
+#: Vectors up to which a node is opened to its vectors at once.
+SMALL = 16
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -64,8 +68,13 @@ class CoverTree:
 
     def __init__(self, points: np.ndarray, **arrays: np.ndarray):
         self.points = points
+        self.single = points.astype(np.float32)
+        self.opened: dict[int, list[np.ndarray]] = {}
         self.arrays = arrays
         self.centre, self.radius, self.first, self.stop, self.child, self.last = (arrays[k] for k in ("centre", "radius", "first", "stop", "child", "last"))
+        own = np.flatnonzero(self.stop - self.first == 1)
+        self.leaf = np.zeros(len(points), np.int64)  # the node of each vector on its own
+        self.leaf[self.first[own]] = own
 
     @classmethod
     def build(cls, vectors: np.ndarray) -> tuple[CoverTree, np.ndarray]:
@@ -108,11 +117,37 @@ class CoverTree:
 
 
 def _kids(tree: CoverTree, node: int) -> list[np.ndarray]:
-    """A node's children: single vectors, then wider nodes, so that a few wide ones among many do
-    not widen the bounds of all."""
-    kids = np.arange(tree.child[node], tree.last[node])
-    single = tree.radius[kids] == 0
-    return [k for k in (kids[single], kids[~single]) if len(k)]
+    """A node's children: single vectors, those of small children included, then wider nodes. So a few
+    wide ones among many do not widen the bounds of all, and small ones are not opened one by one."""
+    found = tree.opened.get(int(node))
+    if found is None:
+        kids = np.arange(tree.child[node], tree.last[node])
+        size = tree.stop[kids] - tree.first[kids]
+        small = kids[size <= SMALL]
+        n = tree.stop[small] - tree.first[small]
+        places = np.repeat(tree.first[small] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        found = tree.opened[int(node)] = [k for k in (tree.leaf[places], kids[size > SMALL]) if len(k)]
+    return found
+
+
+def _near(a: CoverTree, b: CoverTree, left: np.ndarray, right: np.ndarray, widest: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of nodes (places in left and right) whose centres are within ``widest``, and how far apart
+    they are. Products are taken in parts that stay in the cache; in single precision first, with
+    a margin for its error, where that leaves few candidates for double precision."""
+    least = 1 - widest * widest / 2
+    x, y = a.centre[left], b.centre[right]
+    coarse = least > 0.3
+    margin = max(2e-5, a.points.shape[1] * 4e-7) if coarse else 1e-12
+    one, other = (a.single[x], b.single[y].T) if coarse else (a.points[x], b.points[y].T)
+    step = max(1, PART // max(1, len(y)))
+    found = []
+    for first in range(0, len(x), step):
+        dots = one[first : first + step] @ other
+        i, j = np.divmod(np.flatnonzero(dots.ravel() >= least - margin), len(y))
+        exact = np.einsum("ij,ij->i", a.points[x[first + i]], b.points[y[j]]) if coarse else dots[i, j]
+        found.append((first + i, j, np.sqrt(np.maximum(2 - 2 * exact, 0))))
+    rows, columns, away = (np.concatenate(part) for part in zip(*found, strict=True))
+    return rows, columns, away
 
 
 def dual(a: CoverTree, b: CoverTree, eps: float, same: bool) -> Iterator[tuple[int, int, int, int]]:
@@ -124,13 +159,11 @@ def dual(a: CoverTree, b: CoverTree, eps: float, same: bool) -> Iterator[tuple[i
     todo = [(np.array([0]), np.array([0]), same)]
     while todo:
         left, right, own = todo.pop()
-        # One product and one comparison leave few candidates, for which the bounds are worked out.
-        dots = a.points[a.centre[left]] @ b.points[b.centre[right]].T
         widest = min(2.0, float(a.radius[left].max() + b.radius[right].max()) + eps + SLACK)
-        rows, columns = np.nonzero(dots >= 1 - widest * widest / 2 - 1e-12)
+        rows, columns, away = _near(a, b, left, right, widest)
         if own:
-            rows, columns = rows[rows <= columns], columns[rows <= columns]
-        away = np.sqrt(np.maximum(2 - 2 * dots[rows, columns], 0))
+            ahead = rows <= columns
+            rows, columns, away = rows[ahead], columns[ahead], away[ahead]
         reach = a.radius[left][rows] + b.radius[right][columns]
         x, y = left[rows], right[columns]
         itself = (rows == columns) if own else np.zeros(len(rows), bool)
