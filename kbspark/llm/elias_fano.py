@@ -80,14 +80,17 @@ class EliasFano:
         if first is not None:
             at, end = np.maximum(at, first[inside]), np.minimum(end, stop[inside])
         low = values[inside] & np.uint64((1 << self.low) - 1)
-        alive = np.flatnonzero(at < end)
-        while len(alive):  # a high part holds about one value
-            found = self._lows(at[alive])
-            hit = found == low[alive]
-            out[inside[alive[hit]]] = at[alive[hit]]
-            alive = alive[found < low[alive]]
-            at[alive] += 1
-            alive = alive[at[alive] < end[alive]]
+        # The low bits ascend within a high part, which a dense context may fill with thousands of values.
+        stop_, alive = end.copy(), np.flatnonzero(at < end)
+        while len(alive):
+            middle = (at[alive] + stop_[alive]) >> 1
+            under = self._lows(middle) < low[alive]
+            at[alive[under]] = middle[under] + 1
+            stop_[alive[~under]] = middle[~under]
+            alive = alive[at[alive] < stop_[alive]]
+        there = np.flatnonzero(at < end)
+        hit = there[self._lows(at[there]) == low[there]]
+        out[inside[hit]] = at[hit]
         return out
 
     def get(self, i: np.ndarray) -> np.ndarray:

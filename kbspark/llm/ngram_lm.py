@@ -22,6 +22,7 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -162,7 +163,7 @@ class Reader:
         ids, counts = self.find(distinct)
         base = np.log10(self.unigram(counts))
         sizes = np.array([len(x) for x in own])
-        at = np.fromiter((place[w] for x in own for w in x), np.int64, int(sizes.sum()))
+        at = np.fromiter(map(place.__getitem__, chain.from_iterable(own)), np.int64, int(sizes.sum()))
         starts = np.cumsum(sizes) - sizes
         word = ids[at]
         before = np.concatenate([[self.m.end_id], word[:-1]])
