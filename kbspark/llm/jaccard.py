@@ -1,0 +1,310 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles, found by prefix filtering.
+
+Put the shingles of all texts in one order. Of two sets whose similarity is at least t, the
+first |x| - ceil(t |x|) + 1 shingles of each share one. So each set is sent only under these, and
+whatever meets under a shingle is compared in full: no pair is missed, whatever the order. The order
+decides the work alone: shingles that a sample finds often come last. Two bounds, which no similar pair
+breaks, spare most comparisons: what can still be shared after a common shingle's places, and the bits
+in which parity sketches differ, which are at most the shingles that one set alone has. SimHash would not do here: sets
+at 0.8 differ in about ten of 64 bits, and no split of 64 bits into eleven blocks separates texts.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import annotated, slices, stored
+from .graphs import components
+
+#: Texts, at most (about), in which frequent shingles are sought, and how often makes one frequent.
+SAMPLE, OFTEN = 8_000, 3
+#: Shards of the prefixes; shingles that more sets than this share are linked in two rounds.
+SHARDS, LARGE = 256, 32
+#: Entries that a task holds before it passes them on.
+FLUSH = 1 << 20
+#: Bits of a sketch.
+SKETCH = 2048
+
+
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """XXH64 of each distinct shingle, ascending: A-Z lower-cased, words between ASCII white space;
+    a text of fewer words is one shingle, a text without words has none."""
+    own = text.lower().split()
+    if not own:
+        return np.zeros(0, np.uint64)
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    return np.unique(np.array([digest(join(x)) for x in zip(*(own[i:] for i in range(min(words, len(own)))), strict=False)], np.uint64))
+
+
+def key(own: np.ndarray) -> int:
+    """One signed number for a set of shingles."""
+    return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 7)).astype(np.int64))
+
+
+def prefix(own: np.ndarray, least: float, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The shingles of a set that come first in the order; frequent ones, ascending, are put last."""
+    size = len(own) - math.ceil(least * len(own) - 1e-9) + 1
+    if not len(own) or not len(frequent):
+        return own[:size]
+    at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
+    return own[np.lexsort((own, np.where(frequent[at] == own, rank[at], 0)))[:size]]
+
+
+def sketch(own: np.ndarray) -> bytes:
+    """For each bit, whether an odd number of the shingles falls on it."""
+    return np.packbits(np.bincount((own % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (len(a) + len(b) - both) - 1e-9
+
+
+def _frequent(docs: DataFrame, words: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles of a sample of distinct texts, ascending, and their ranks. Its size is bounded."""
+    n = docs.count()
+    texts = docs.select(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < min(1.0, SAMPLE / max(1, n)) * (1 << 30))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = {key(x): x for x in (shingles(t, words) for t in part.column("text").to_pylist())}
+                own = np.concatenate(list(found.values()))
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.repeat(np.array(list(found), np.int64), [len(x) for x in found.values()]))], names=["s", "k"])
+
+    counted = some.mapInArrow(run, "s long, k long").distinct().groupBy("s").count().filter(F.col("count") >= OFTEN)
+    got = counted.orderBy(F.desc("count"), "s").limit(200_000).toArrow()
+    own, n = got["s"].to_numpy().view(np.uint64), got["count"].to_numpy()
+    order = np.argsort(own)
+    return own[order], n[order]
+
+
+def _blob(rows: np.ndarray) -> bytes:
+    """Entries (shingle, key, size, place), ascending by shingle: differences of shingles, byte planes apart."""
+    gaps = np.diff(rows["s"], prepend=np.uint64(0))
+    planes = [x.astype(kind).view(np.uint8).reshape(len(rows), -1).T.tobytes() for x, kind in ((gaps, "<u8"), (rows["k"], "<i8"), (rows["n"], "<u4"), (rows["p"], "<u4"))]
+    return b"".join(planes)
+
+
+ENTRY = np.dtype([("s", "<u8"), ("k", "<i8"), ("n", "<u4"), ("p", "<u4")])
+
+
+def _entries(data: bytes) -> np.ndarray:
+    size = len(data) // ENTRY.itemsize
+    rows, at = np.empty(size, ENTRY), 0
+    for name, kind in (("s", "<u8"), ("k", "<i8"), ("n", "<u4"), ("p", "<u4")):
+        width = np.dtype(kind).itemsize
+        rows[name] = np.ascontiguousarray(np.frombuffer(data, np.uint8, width * size, at).reshape(width, -1).T).view(kind).ravel()
+        at += width * size
+    rows["s"] = np.cumsum(rows["s"], dtype=np.uint64)
+    return rows
+
+
+def _ordered(parts: list[np.ndarray]) -> np.ndarray:
+    """Entries by shingle, size and key, each once."""
+    own = np.concatenate(parts)
+    own = own[np.lexsort((own["k"], own["n"], own["s"]))]
+    same = (own["s"][1:] == own["s"][:-1]) & (own["k"][1:] == own["k"][:-1])
+    return own[np.append(True, ~same)]
+
+
+def _prefixes(rows: DataFrame, words: int, least: float, text_col: str, frequent) -> DataFrame:
+    """shard and entries: what each task found, packed."""
+    sent = rows.sparkSession.sparkContext.broadcast(frequent)  # of a bounded size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, zip_ = [], 0, zstandard.ZstdCompressor(level=1)
+
+        def out() -> pa.RecordBatch:
+            own = _ordered(held)
+            shard = (own["s"] >> np.uint64(64 - (SHARDS.bit_length() - 1))).astype(np.int64)
+            cuts = np.searchsorted(shard, np.arange(SHARDS + 1))
+            found = [(s, zip_.compress(_blob(own[cuts[s] : cuts[s + 1]]))) for s in range(SHARDS) if cuts[s] < cuts[s + 1]]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.binary())], names=["shard", "entries"])
+
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for k, text in zip(part.column("_key").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    own = shingles(text, words)
+                    first = prefix(own, least, *sent.value)
+                    entry = np.empty(len(first), ENTRY)
+                    entry["s"], entry["k"], entry["n"], entry["p"] = first, k, len(own), np.arange(len(first))
+                    held.append(entry)
+                    size += len(first)
+                    if size >= FLUSH:
+                        yield out()
+                        held, size = [], 0
+        if size:
+            yield out()
+
+    return rows.select("_key", F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text")).mapInArrow(run, "shard int, entries binary")
+
+
+def _met(prefixes: DataFrame, least: float) -> DataFrame:
+    """What meets under a shingle: pairs a, b to compare, all of a small group and those with its first
+    member of a large one; and the members of large groups, as a (key), b (size) and s (shingle)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unzip = zstandard.ZstdDecompressor()
+
+        def out(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+            own = _ordered([_entries(unzip.decompress(x)) for x in blobs])
+            starts = np.flatnonzero(np.append(True, own["s"][1:] != own["s"][:-1]))
+            sizes = np.diff(np.append(starts, len(own)))
+            size, first = np.repeat(sizes, sizes), np.repeat(starts, sizes)
+            at = np.flatnonzero((size > 1) & (size <= LARGE))
+            large = np.flatnonzero(size > LARGE)
+            left = own["n"].astype(np.int64) - own["p"]  # what the sets can share from here on
+            low, high = [first[large]], [large]
+            for lag in range(1, LARGE):
+                at = at[at + lag < first[at] + size[at]]
+                at = at[own["n"][at + lag] * least <= own["n"][at] + 1e-9]  # sizes ascend: more lag is no better
+                ok = at[np.minimum(left[at], left[at + lag]) >= least / (1 + least) * (own["n"][at].astype(np.int64) + own["n"][at + lag]) - 1e-9]
+                low.append(ok)
+                high.append(ok + lag)
+            a, b = np.concatenate(low), np.concatenate(high)
+            near = own["n"][b] * least <= own["n"][a] + 1e-9
+            both = np.stack([own["k"][a[near]], own["k"][b[near]]], axis=1)
+            both = np.unique(np.sort(both[both[:, 0] != both[:, 1]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.int64())], names=["a", "b", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(own["k"][large]), pa.array(own["n"][large].astype(np.int64)), pa.array(own["s"][large].view(np.int64))], names=["a", "b", "s"])
+
+        shard, held = None, []
+        for batch in batches:
+            for now, blob in zip(batch.column("shard").to_pylist(), batch.column("entries").to_pylist(), strict=True):
+                if now != shard and held:
+                    yield from out(held)
+                    held = []
+                shard = now
+                held.append(blob)
+        if held:
+            yield from out(held)
+
+    dealt = prefixes.repartition(SHARDS, F.col("shard")).sortWithinPartitions("shard")
+    return dealt.mapInArrow(run, "a long, b long, s long")
+
+
+def _apart(members: DataFrame, least: float) -> DataFrame:
+    """Pairs a, b of members of a large group (columns s, k, n, root) that no link has joined so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = pa.Table.from_batches(rows)
+            k, n, root = (own[c].to_numpy() for c in ("k", "n", "root"))
+            order = np.lexsort((k, n))
+            k, n, root = k[order], n[order], root[order]
+            for i in range(len(k) - 1):
+                rest = np.arange(i + 1, int(np.searchsorted(n, n[i] / least + 1e-9, "right")))
+                rest = rest[root[rest] != root[i]]
+                if len(rest):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(k[rest], k[i])), pa.array(np.maximum(k[rest], k[i]))], names=["a", "b"])
+
+        now, held = None, []
+        for batch in batches:
+            s = batch.column("s").to_numpy()
+            cuts = [0, *(np.flatnonzero(s[1:] != s[:-1]) + 1).tolist(), len(s)]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                if low == high:
+                    continue
+                if s[low] != now and held:
+                    yield from out(held)
+                    held = []
+                now = s[low]
+                held.append(batch.slice(low, high - low))
+        if held:
+            yield from out(held)
+
+    return members.repartition(F.col("s")).sortWithinPartitions("s").mapInArrow(run, "a long, b long")
+
+
+def _plausible(pairs: DataFrame, least: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sketches do not rule the similarity out. Sides of joins are written, so that
+    hot keys are split."""
+    one = stored(pairs.join(least.select(F.col("_key").alias("a"), F.col("sketch").alias("x"), F.col("size").alias("m")), "a"), "sides")
+    two = one.join(least.select(F.col("_key").alias("b"), F.col("sketch").alias("y"), F.col("size").alias("n")), "b").select("a", "b", "x", "y", "m", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH // 8) for c in ("x", "y"))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            most = (1 - similarity) / (1 + similarity) * (batch.column("m").to_numpy() + batch.column("n").to_numpy())
+            yield batch.select(["a", "b"]).filter(pa.array(apart <= most + 1e-9))
+
+    return stored(two.mapInArrow(run, "a long, b long"), "plausible")
+
+
+def _confirmed(pairs: DataFrame, rows: DataFrame, least: DataFrame, words: int, similarity: float, text_col: str) -> DataFrame:
+    """The pairs whose sets have the similarity. Texts travel compressed."""
+    pairs = _plausible(pairs, least, similarity)
+    wanted = pairs.select(F.col("a").alias("_key")).unionByName(pairs.select(F.col("b").alias("_key"))).distinct()
+    chosen = wanted.join(least, "_key").select("least.row")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_ = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield part.set_column(2, "text", pa.array([zip_.compress(t or b"") for t in part.column("text").to_pylist()], pa.binary()))
+
+    packed = rows.select("_row", "_key", F.col(text_col).cast("binary").alias("text")).mapInArrow(pack, "_row long, _key long, text binary")
+    texts = stored(packed.join(chosen, packed["_row"] == chosen["row"], "left_semi").select("_key", "text"), "texts")
+    one = stored(pairs.join(texts.select(F.col("_key").alias("a"), F.col("text").alias("ta")), "a"), "sides")
+    two = one.join(texts.select(F.col("_key").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unzip = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for part in slices(batch, "ta"):
+                met: dict[int, np.ndarray] = {}
+                ok = []
+                for a, b, ta, tb in zip(*(part.column(c).to_pylist() for c in ("a", "b", "ta", "tb")), strict=True):
+                    for k, t in ((a, ta), (b, tb)):
+                        if k not in met:
+                            met[k] = shingles(unzip.decompress(t), words)
+                    ok.append(similar(met[a], met[b], similarity))
+                yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return stored(two.mapInArrow(run, "a long, b long"), "links")
+
+
+def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row, with all its columns, of each component of rows whose sets of shingles have at least
+    that Jaccard similarity: the one with the smallest identifier, null ones last; of rows that share
+    it, one. Texts without a word, null ones among them, are alike. Repeated rows are alike too.
+    """
+    clash = {"_row", "_key", "_sketch", "_size"} & set(docs.columns)
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} are there already")
+
+    def make():
+        def one(text):
+            own = shingles((text or "").encode(), words)
+            return key(own), sketch(own), len(own)
+
+        return lambda texts: [one(t) for t in texts]
+
+    rows = stored(annotated(docs, text_col, {"_key": "long", "_sketch": "binary", "_size": "long"}, make).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    order = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
+    least = stored(rows.select("_key", "_sketch", "_size", order.alias("o")).groupBy("_key").agg(F.min("o").alias("least"), F.first("_sketch").alias("sketch"), F.first("_size").alias("size")), "least")
+    met = stored(_met(_prefixes(rows, words, similarity, text_col, _frequent(docs, words, text_col)), similarity), "met")
+    pairs = stored(met.filter("s is null").select("a", "b").distinct(), "pairs")
+    links = _confirmed(pairs, rows, least, words, similarity, text_col)
+    members = met.filter("s is not null").select("s", F.col("a").alias("k"), F.col("b").alias("n"))
+    if not members.isEmpty():
+        roots = stored(components(links), "roots-1").withColumnRenamed("node", "k")
+        members = stored(members.join(roots, "k", "left").select("s", "k", "n", F.coalesce("root", "k").alias("root")), "members")
+        mixed = stored(members.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("s"), "mixed")
+        more = _apart(members.join(mixed, "s", "left_semi"), similarity).distinct().join(pairs, ["a", "b"], "left_anti")
+        links = links.unionByName(_confirmed(stored(more, "pairs-2"), rows, least, words, similarity, text_col))
+    roots = components(links).withColumnRenamed("node", "_key")
+    named = stored(least.join(roots, "_key", "left").select("least", F.coalesce("root", "_key").alias("root")), "named")
+    first = named.groupBy("root").agg(F.min("least").alias("first")).select(F.col("first.row").alias("_row"))
+    return rows.join(first, "_row", "left_semi").select(*docs.columns)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import oracle
-from kbspark.llm import cover_tree, elias_fano, graphs, language_id, ngram_lm, packing, pu_quality, quality_rules, queries, simhash, sstable, token_rollup, trie_bpe
+from kbspark.llm import cover_tree, elias_fano, graphs, jaccard, language_id, ngram_lm, packing, pu_quality, quality_rules, queries, simhash, sstable, token_rollup, trie_bpe
 from kbspark.llm.common import fold, held_out, table
 from kbspark.llm.encoding import IdEncoder, pack
 from kbspark.llm.queries import tokenizer
@@ -454,6 +454,50 @@ def test_cover_tree(spark):
 
 # -- pipeline and queries
 
+def plain_shingles(text, words):
+    own = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    return {tuple(own[i : i + words]) for i in range(max(1, len(own) - words + 1))} if own else set()
+
+
+def alike(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+@pytest.mark.parametrize("large", [2, 32])
+def test_near_duplicate_stage_finds_all(spark, docs, monkeypatch, large):
+    import corpus_pipeline as pipeline
+
+    monkeypatch.setattr(jaccard, "LARGE", large)
+    rng = random.Random(12)
+    rows = [(i, t) for i, t in enumerate(EDGE)]
+    for group in range(12):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.choice([12, 60, 300]))]
+        for _ in range(12):
+            own = base[:]
+            for _ in range(rng.randrange(1 + len(base) // 30)):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(400)}"
+            rows.append((len(rows), " ".join([f"h{group}"] * rng.randrange(3) + own)))
+    sets = {i: plain_shingles(t, 5) for i, t in rows}
+    near = [(a, b) for a, b in itertools.combinations(sets, 2) if alike(sets[a], sets[b])]
+    far = [(a, b) for a, b in near if (plain_fingerprint(rows[a][1], 3) ^ plain_fingerprint(rows[b][1], 3)).bit_count() > 3]
+    assert len(far) > 100
+    want = set(plain_components(sorted(sets), near).values())
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string").repartition(3)
+    kept = pipeline.STAGES[2][1](spark, df, SF)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(want)
+
+
+def test_near_duplicate_stage_on_table(spark):
+    import corpus_pipeline as pipeline
+
+    df = table(spark, "/root/testdata/sf0.01", "documents")
+    sets = {r.doc_id: plain_shingles(r.text, 5) for r in df.collect()}
+    near = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if alike(sets[a], sets[b])]
+    want = set(plain_components(sorted(sets), near).values())
+    assert {r.doc_id for r in pipeline.STAGES[2][1](spark, df, SF).collect()} == want
+
+
+
 def test_pipeline(spark):
     import corpus_pipeline as pipeline
 
