@@ -25,8 +25,10 @@ ROUNDS = 3
 SMOOTHING = 0.05
 #: Words whose likelihoods a Python worker keeps; this changes speed only.
 KEPT_WORDS = 400_000
-#: Code points up to which a word's likelihood is summed without rescaling.
+#: Code points up to which a word's likelihood is first summed as it is. Sums that come near the
+#: smallest doubles, and those of longer words, are taken over logarithms.
 SHORT = 60
+TINY = 1e-200
 MARK = "▁"  # stands before each word, as in the vocabulary
 
 
@@ -80,6 +82,22 @@ class Pieces:
         return out
 
 
+def log_sums(start: np.ndarray, end: np.ndarray, logs: np.ndarray, n: int) -> np.ndarray:
+    """Logarithms of the sums over segmentations of each prefix of one word: length, language. A match
+    of one character ends at every place, so no sum is empty."""
+    order = np.argsort(end, kind="stable")
+    cuts = np.searchsorted(end[order], np.arange(1, n + 2)).tolist()
+    start, logs = start[order], np.ascontiguousarray(logs[:, order].T)
+    out = np.zeros((n + 1, logs.shape[1]))
+    for j in range(1, n + 1):
+        low, high = cuts[j - 1], cuts[j]
+        if high - low == 1:
+            out[j] = out[start[low]] + logs[low]
+        else:
+            out[j] = np.logaddexp.reduce(out[start[low:high]] + logs[low:high], axis=0)
+    return out
+
+
 class Lattice:
     """The matches of many short words as flat arrays in order of their ends."""
 
@@ -119,6 +137,44 @@ class Lattice:
     def likelihood(self, weights: np.ndarray) -> np.ndarray:
         return self.forward(weights)[:, np.arange(self.n), self.length]
 
+    def log_likelihood(self, weights: np.ndarray) -> np.ndarray:
+        """Logarithms of the likelihoods, finite for every word: language, word."""
+        whole = self.likelihood(weights)
+        out = np.log(np.maximum(whole, TINY))
+        for w in np.flatnonzero((whole <= TINY).any(axis=0)).tolist():
+            out[:, w] = self.log_whole(w, weights)
+        return out
+
+    def _span(self, w: int) -> slice:
+        return slice(*np.searchsorted(self.word, [w, w + 1]).tolist())
+
+    def log_whole(self, w: int, weights: np.ndarray) -> np.ndarray:
+        """Log likelihood of one word of any length in each language."""
+        at = self._span(w)
+        return log_sums(self.start[at], self.end[at], np.log(weights[:, at]), int(self.length[w]))[-1]
+
+    def log_share(self, w: int, weights: np.ndarray) -> np.ndarray:
+        """Chance that a segmentation of one word of any length uses each of its matches."""
+        at, n = self._span(w), int(self.length[w])
+        start, end, logs = self.start[at], self.end[at], np.log(weights[None, at])
+        alpha, beta = log_sums(start, end, logs, n)[:, 0], log_sums(n - end, n - start, logs, n)[::-1, 0]
+        return np.exp(alpha[start] + logs[0] + beta[end] - alpha[n])
+
+    def uses(self, share: np.ndarray, size: int) -> np.ndarray:
+        """Uses of each piece from those of each match."""
+        out = np.bincount(self.ids, share, size)
+        for at, own in self.more:
+            for piece in own[1:]:
+                out[piece] += share[at]
+        return out
+
+    def expected_long(self, weights: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+        """As ``expected``, for words of any length one after the other."""
+        share = np.zeros(len(self.word))
+        for w in range(self.n):
+            share[self._span(w)] = self.log_share(w, weights) * counts[w]
+        return self.uses(share, size)
+
     def expected(self, weights: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
         """Expected uses of each piece, by forward and backward sums; weights of one language."""
         alpha, most = self.forward(weights[None])[0], int(self.length.max(initial=0))
@@ -130,31 +186,16 @@ class Lattice:
             at = order[cuts[i] : cuts[i + 1]]
             beta[:, i] += np.bincount(self.word[at], beta[self.word[at], self.end[at]] * weights[at], self.n)
         whole = alpha[np.arange(self.n), self.length]
-        share = alpha[self.word, self.start] * weights * beta[self.word, self.end] / whole[self.word] * counts[self.word]
-        out = np.bincount(self.ids, share, size)
-        for at, own in self.more:
-            for piece in own[1:]:
-                out[piece] += share[at]
-        return out
+        share = alpha[self.word, self.start] * weights * beta[self.word, self.end] / np.maximum(whole, TINY)[self.word] * counts[self.word]
+        for w in np.flatnonzero(whole <= TINY).tolist():
+            share[self._span(w)] = self.log_share(w, weights) * counts[w]
+        return self.uses(share, size)
 
 
 def long_word(pieces: Pieces, word: str, p: np.ndarray) -> np.ndarray:
-    """Log likelihood of one word of any length, rescaled at every step."""
-    matches, n = pieces.matches(word), len(word) + 1
-    by_end: list[list] = [[] for _ in range(n + 1)]
-    reach = 1
-    for i, j, own in matches:
-        by_end[j].append((i, p[:, own].prod(axis=1)))
-        reach = max(reach, j - i)
-    recent, scale = {0: np.ones(len(p))}, np.zeros(len(p))
-    for j in range(1, n + 1):
-        recent[j] = sum(recent[i] * w for i, w in by_end[j])
-        recent.pop(j - reach - 1, None)
-        if j % 16 == 0:
-            most = np.max(list(recent.values()), axis=0)
-            recent = {i: v / most for i, v in recent.items()}
-            scale += np.log(most)
-    return np.log(recent[n]) + scale
+    """Log likelihood of one word of any length."""
+    lattice = Lattice(pieces, [word])
+    return lattice.log_whole(0, lattice.weights(p))
 
 
 class Model:
@@ -170,12 +211,13 @@ class Model:
         languages = sorted(counts)
         p = np.full((len(languages), pieces.size), 1 / pieces.size)
         for k, language in enumerate(languages):
-            own = {w: c for w, c in counts[language].items() if len(w) < SHORT}
+            own = counts[language]
             if not own:
                 continue
-            lattice, times = Lattice(pieces, list(own)), np.array(list(own.values()), float)
+            short, long = [w for w in own if len(w) < SHORT], [w for w in own if len(w) >= SHORT]
+            sums = [(x, x.expected if words is short else x.expected_long, np.array([own[w] for w in words], float)) for words in (short, long) if words for x in [Lattice(pieces, words)]]
             for _ in range(ROUNDS):
-                uses = lattice.expected(lattice.weights(p[k : k + 1])[0], times, pieces.size) + SMOOTHING
+                uses = sum(expected(x.weights(p[k : k + 1])[0], times, pieces.size) for x, expected, times in sums) + SMOOTHING
                 p[k] = uses / uses.sum()
         return cls(pieces, languages, p, np.array([prior[x] for x in languages]))
 
@@ -186,7 +228,7 @@ class Model:
         short, rows = [w for w in words if len(w) < SHORT], []
         for first in range(0, len(short), 8192):
             lattice = Lattice(self.pieces, short[first : first + 8192])
-            rows.append(np.log(lattice.likelihood(lattice.weights(self.p))).T)
+            rows.append(lattice.log_likelihood(lattice.weights(self.p)).T)
         rest = [w for w in words if len(w) >= SHORT]
         rows += [long_word(self.pieces, w, self.p)[None] for w in rest]
         at = len(self.row)

@@ -323,6 +323,29 @@ def test_language_lattice():
     assert np.isfinite(language_id.long_word(pieces, "abx" * 5000, p)).all()
 
 
+def test_language_words_that_underflow():
+    pieces = language_id.Pieces.load(tokenizer("piece_bpe_32k.model"))
+    odd = ["\U0001f9a9" * 18, "\U0001f9a9" * 59, "\U0001f9a9" * 500, "龘靐齉爩" * 14, "龘靐齉爩" * 300, "กขฃคฅฆง" * 8, "internationalisation" + "\U0001f9a9" * 40, "x" * 70]
+    own = {"a": {"the": 9, "cat": 3, **dict.fromkeys(odd, 2)}, "b": {"der": 9, "hund": 3}, "c": {"le": 9, "chat": 3}}
+    model = language_id.Model.learn(pieces, own, dict.fromkeys(own, 1 / 3))
+    assert np.isfinite(model.p).all() and (model.p > 0).all() and np.allclose(model.p.sum(axis=1), 1)
+    only = language_id.Model.learn(pieces, {"a": {"x" * 70: 5}}, {"a": 1.0})
+    assert only.p[0].max() > 10 / pieces.size  # long words are learned from
+    texts = [*odd, *("cat " + x for x in odd), "der hund", "le chat"]
+    got = model.predict(texts)
+    assert all(0 <= score <= 1 for _, score in got) and [x for x, _ in got[-2:]] == ["b", "c"]
+    assert all(x == ("und", 0.0) or x[0] == "a" for x in got[: 2 * len(odd)])
+    assert np.isfinite(model.logs).all()
+    # One way of writing each of these: bytes only, so that the likelihood is known.
+    flat = np.full((2, pieces.size), 1e-7)
+    for n in (18, 59, 200):
+        lattice = language_id.Lattice(pieces, ["\U0001f9a9" * n])
+        want = (4 * n + 1) * math.log(1e-7)
+        assert np.allclose(lattice.log_likelihood(lattice.weights(flat)), want) and np.allclose(language_id.long_word(pieces, "\U0001f9a9" * n, flat), want)
+        uses = lattice.expected(lattice.weights(flat)[0], np.array([3.0]), pieces.size)
+        assert np.isclose(uses.sum(), 3 * (4 * n + 1)) and np.allclose(uses, lattice.expected_long(lattice.weights(flat)[0], np.array([3.0]), pieces.size))
+
+
 def test_language_id(spark, docs):
     rows = queries.op3_piece_unigrams(spark, "/root/testdata/sf0.01").collect()
     truth = {r.doc_id: r.lang for r in table(spark, "/root/testdata/sf0.01", "documents").collect()}
