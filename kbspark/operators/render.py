@@ -48,7 +48,7 @@ def method_index(methods: DataFrame, module: str) -> DataFrame:
 
 
 def state_machine(transitions: DataFrame, name: str) -> DataFrame:
-    """A page with a diagram and a table of the transitions."""
+    """A page with a diagram of the transitions."""
     arrow = F.concat(F.lit("    "), F.col("from_status"), F.lit(" --> "), F.col("to_status"), F.lit(": "), F.col("method_name"))
     diagram = F.concat(F.lit("```mermaid\nstateDiagram-v2\n"), F.array_join(F.sort_array(F.collect_set(arrow)), "\n"), F.lit("\n```"))
     return transitions.agg(F.concat(F.lit(f"# {name}\n\n"), diagram).alias("body"), F.count("*").alias("n"))
