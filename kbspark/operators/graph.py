@@ -4,6 +4,8 @@ end. Every round is written to the reliable checkpoint folder, which cuts the li
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,21 +64,21 @@ def impact_summary(reached: DataFrame, owners: DataFrame) -> DataFrame:
     return sums.withColumn("risk", risk)
 
 
-def trace(edges: DataFrame, start: str, end: str, depth: int = 10) -> DataFrame:
+def trace(edges: DataFrame, start: str, end: str, depth: int | None = None) -> DataFrame:
     """path (array): the shortest way from start to end, the first in lexical order of those; no row
-    where there is none. One way per symbol and round is kept, so the frontier is no larger than the
+    where there is none, or none of at most ``depth`` steps if that is given. One way per symbol and round is kept, so the frontier is no larger than the
     graph."""
     steps = edges.select("src", "dst").distinct()
     frontier = edges.sparkSession.range(1).select(F.lit(start).alias("src"), F.array(F.lit(start)).alias("path"))
     seen = frontier.select("src")
-    for _ in range(depth):
+    for _ in count() if depth is None else range(depth):
         if not (hit := frontier.filter(F.col("src") == end)).isEmpty():
             return hit.select("path")
         found = frontier.join(steps, "src").select(F.col("dst").alias("src"), F.concat("path", F.array("dst")).alias("path"))
         frontier = settled(found.join(seen, "src", "left_anti").groupBy("src").agg(F.min("path").alias("path")))
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier.select("src"))
+        seen = settled(seen.unionByName(frontier.select("src")))
     return frontier.filter(F.col("src") == end).select("path")
 
 
@@ -114,17 +116,18 @@ def call_graph(calls: DataFrame, implemented: DataFrame) -> DataFrame:
     return level1.unionByName(level2).distinct()
 
 
-def module_cycles(edges: DataFrame, depth: int = 5) -> DataFrame:
-    """Modules that reach themselves over other modules: module, length of the shortest way back."""
+def module_cycles(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """Modules that reach themselves over other modules: module, length of the shortest way back; of
+    at most ``depth`` steps if that is given."""
     steps = settled(edges.select("src", "dst").filter("src != dst").distinct())
     reach = steps.select(F.col("src").alias("module"), F.col("dst").alias("at"), F.lit(1).alias("length"))
     seen = reach
-    for n in range(2, depth + 1):
+    for n in count(2) if depth is None else range(2, depth + 1):
         found = reach.join(steps, F.col("at") == F.col("src")).select("module", F.col("dst").alias("at")).distinct()
         reach = settled(found.join(seen, ["module", "at"], "left_anti").withColumn("length", F.lit(n)))
         if reach.isEmpty():
             break
-        seen = seen.unionByName(reach)
+        seen = settled(seen.unionByName(reach))
     return seen.filter("module = at").groupBy("module").agg(F.min("length").alias("length"))
 
 

@@ -266,3 +266,12 @@ def test_services(spark, tmp_path):
     loaded = config.Config.of(config.load(str(path)))
     assert loaded.default_project().name == "b" and [p.name for p in loaded.chosen("g")] == ["g"]
     assert config.golden_queries(spark, str(path)).first().expected_hits == ["x"]
+
+
+def test_graph_goes_as_far_as_it_reaches(spark):
+    chain = [(f"n{i:02}", f"n{i + 1:02}") for i in range(13)]
+    edges = spark.createDataFrame([*chain, ("n13", "n00"), ("x", "n00")], "src string, dst string")
+    assert graph.trace(edges, "n00", "n12").first().path == [f"n{i:02}" for i in range(13)]
+    assert graph.trace(edges, "n00", "n12", depth=11).count() == 0 and graph.trace(edges, "n00", "x").count() == 0
+    assert {(r.module, r.length) for r in graph.module_cycles(edges).collect()} == {(f"n{i:02}", 14) for i in range(14)}
+    assert graph.module_cycles(edges, depth=13).count() == 0
