@@ -105,13 +105,19 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
         yield batch.slice(first)
 
 
+def check_names(docs: DataFrame, names) -> None:
+    """Names that an operator adds must not be there already, however they are written."""
+    taken = {c.lower() for c in docs.columns} & {n.lower() for n in names}
+    if taken:
+        raise ValueError(f"columns {sorted(taken)} are there already")
+
+
 def annotated(docs: DataFrame, text_col: str, names: dict[str, str], make) -> DataFrame:
     """All columns of ``docs`` and new ones (name: type), which ``make()`` computes on the executors:
     it returns a function from a list of texts to one tuple of values for each. Names that
     ``docs`` has already are an error."""
-    taken = {c.lower() for c in docs.columns} & {n.lower() for n in names}
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} are there already")
+    check_names(docs, names)
+    ship(docs.sparkSession)
 
     def run(batches):
         compute = make()

@@ -10,6 +10,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -182,6 +183,18 @@ def test_trie_bpe(spark, docs, small):
             want[r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()] += 1
         assert Counter(map(tuple, trie_bpe.encode_digests(df, path).collect())) == want
     assert trie_bpe.encode_digests(docs.limit(0), path).count() == 0
+    # Prefixes that an earlier slice had get no second node.
+    batch = trie_bpe.BatchEncoder(path)
+    batch.digests([b"x some words differ, others do not: wordless"])
+    before = len(batch.trie.last)
+    batch.digests([b"x words do not diff some word, other wordl"])
+    assert len(batch.trie.last) == before > 20
+    small_one = trie_bpe.BatchEncoder(path, max_pieces=3)
+    small_one.trie.max_nodes = small_one.trie.max_words = 5
+    for text in EDGE[1:]:
+        ids = library.encode(text, add_special_tokens=False).ids
+        want = len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+        assert batch.digests([text.encode()]) == small_one.digests([text.encode()]) == [want]
     rows = {r.doc_id: r for r in trie_bpe.encode_ids(docs.filter("doc_id = 8"), path).collect()}
     assert rows[8].ids == library.encode(EDGE[8], add_special_tokens=False).ids and rows[8].decoded == EDGE[8]
 
@@ -292,8 +305,10 @@ def test_binomial_and_cutoffs(spark):
 
 # -- 3
 
-def test_language_lattice():
-    pieces = language_id.Pieces(["", "▁", "▁a", "a", "b", "ab", "▁ab"], {i: 0 for i in range(256)})
+def test_language_lattice(monkeypatch):
+    names = ["", "▁", "▁a", "a", "b", "ab", "▁ab"]
+    place = {x: i for i, x in enumerate(names) if x}
+    pieces = language_id.Pieces(names, {i: 0 for i in range(256)})
     rng = np.random.default_rng(3)
     p = rng.random((2, 7))
 
@@ -301,49 +316,59 @@ def test_language_lattice():
         if not word:
             yield []
         for k in range(1, len(word) + 1):
-            if pieces.prefix.get(word[:k], -1) >= 0:
-                yield from ([pieces.prefix[word[:k]], *rest] for rest in every(word[k:]))
-            elif k == 1 and pieces.prefix.get(word[:1], -1) < 0:
+            if word[:k] in place:
+                yield from ([place[word[:k]], *rest] for rest in every(word[k:]))
+            elif k == 1:
                 yield from ([0] * len(word[:1].encode()) + rest for rest in every(word[1:]))
 
-    words = ["a", "ab", "abab", "bxa", "é", "aabba"]
+    words = ["a", "ab", "abab", "bxa", "é", "aabba", "ababababx", "bb"]
     lattice = language_id.Lattice(pieces, words)
-    got = lattice.likelihood(lattice.weights(p))
+    got = lattice.log_likelihood(lattice.weights(p))
     for w, word in enumerate(words):
-        want = sum(p[:, s].prod(axis=1) for s in every("▁" + word))
-        assert np.allclose(got[:, w], want) and np.allclose(language_id.long_word(pieces, word, p), np.log(want))
-    uses = lattice.expected(lattice.weights(p)[0], np.arange(1.0, 7.0), 7)
+        assert np.allclose(got[w], np.log(sum(p[:, s].prod(axis=1) for s in every("▁" + word))))
+    times = np.arange(1.0, len(words) + 1)
+    uses = lattice.expected(lattice.weights(p[:1]), times)
     want = np.zeros(7)
-    for c, word in enumerate(words, 1):
+    for c, word in zip(times, words, strict=True):
         paths = list(every("▁" + word))
         chances = np.array([p[0, s].prod() for s in paths])
         for s, share in zip(paths, chances / chances.sum() * c, strict=True):
             np.add.at(want, s, share)
     assert np.allclose(uses, want)
-    assert np.isfinite(language_id.long_word(pieces, "abx" * 5000, p)).all()
+    long = language_id.Lattice(pieces, ["abx" * 5000])
+    assert np.isfinite(long.log_likelihood(long.weights(p))).all()
+    # Cutting the words into several lattices changes nothing.
+    monkeypatch.setattr(language_id, "LATTICE", 8)
+    parts = list(language_id.lattices(pieces, words))
+    assert len(parts) > 2 and np.allclose(np.concatenate([x.log_likelihood(x.weights(p)) for x, _ in parts]), got)
+
+
+def test_number_table():
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(0, 1 << 40, 5000))
+    own = language_id.Table(keys, np.arange(len(keys)))
+    assert (own.get(keys) == np.arange(len(keys))).all() and (own.get(np.setdiff1d(rng.integers(0, 1 << 40, 5000), keys)) == -1).all()
 
 
 def test_language_words_that_underflow():
     pieces = language_id.Pieces.load(tokenizer("piece_bpe_32k.model"))
-    odd = ["\U0001f9a9" * 18, "\U0001f9a9" * 59, "\U0001f9a9" * 500, "龘靐齉爩" * 14, "龘靐齉爩" * 300, "กขฃคฅฆง" * 8, "internationalisation" + "\U0001f9a9" * 40, "x" * 70]
+    odd = ["\U0001f9a9" * 18, "\U0001f9a9" * 59, "\U0001f9a9" * 500, "\U00013080" * 58, "龘靐齉爩" * 14, "龘靐齉爩" * 300, "กขฃคฅฆง" * 8, "internationalisation" + "\U0001f9a9" * 40, "x" * 70]
     own = {"a": {"the": 9, "cat": 3, **dict.fromkeys(odd, 2)}, "b": {"der": 9, "hund": 3}, "c": {"le": 9, "chat": 3}}
     model = language_id.Model.learn(pieces, own, dict.fromkeys(own, 1 / 3))
     assert np.isfinite(model.p).all() and (model.p > 0).all() and np.allclose(model.p.sum(axis=1), 1)
     only = language_id.Model.learn(pieces, {"a": {"x" * 70: 5}}, {"a": 1.0})
     assert only.p[0].max() > 10 / pieces.size  # long words are learned from
-    texts = [*odd, *("cat " + x for x in odd), "der hund", "le chat"]
-    got = model.predict(texts)
-    assert all(0 <= score <= 1 for _, score in got) and [x for x, _ in got[-2:]] == ["b", "c"]
+    texts = [*odd, *("cat " + x for x in odd), "der hund", "le chat", None, "", "12 34"]
+    got = list(zip(*model.predict(pa.array(texts)), strict=True))
+    assert all(0 <= score <= 1 for _, score in got) and [x for x, _ in got[-5:]] == ["b", "c", "und", "und", "und"]
     assert all(x == ("und", 0.0) or x[0] == "a" for x in got[: 2 * len(odd)])
     assert np.isfinite(model.logs).all()
     # One way of writing each of these: bytes only, so that the likelihood is known.
     flat = np.full((2, pieces.size), 1e-7)
     for n in (18, 59, 200):
         lattice = language_id.Lattice(pieces, ["\U0001f9a9" * n])
-        want = (4 * n + 1) * math.log(1e-7)
-        assert np.allclose(lattice.log_likelihood(lattice.weights(flat)), want) and np.allclose(language_id.long_word(pieces, "\U0001f9a9" * n, flat), want)
-        uses = lattice.expected(lattice.weights(flat)[0], np.array([3.0]), pieces.size)
-        assert np.isclose(uses.sum(), 3 * (4 * n + 1)) and np.allclose(uses, lattice.expected_long(lattice.weights(flat)[0], np.array([3.0]), pieces.size))
+        assert np.allclose(lattice.log_likelihood(lattice.weights(flat)), (4 * n + 1) * math.log(1e-7))
+        assert np.isclose(lattice.expected(lattice.weights(flat[:1]), np.array([3.0])).sum(), 3 * (4 * n + 1))
 
 
 def test_language_id(spark, docs):
