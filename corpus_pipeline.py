@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import jaccard, language_id, packing, pu_quality
+from kbspark.llm import language_id, packing, pu_quality, simhash_texts
 from kbspark.llm.common import fold, stored, table
 from kbspark.llm.queries import tokenizer
 
@@ -31,8 +31,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest identifier, of each group of near-duplicates:
-    texts whose five-word shingles have a Jaccard similarity of 0.8 or more, found exactly."""
-    return jaccard.keep_first(docs, words=5, similarity=0.8)
+    texts whose five-word shingles have a Jaccard similarity of 0.8 or more, which SimHash fingerprints
+    and Burkhard-Keller trees find and the texts confirm."""
+    return simhash_texts.keep_first(docs, words=5, similarity=0.8)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
