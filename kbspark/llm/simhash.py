@@ -40,6 +40,11 @@ def fingerprint(text: bytes, words: int, seed: int = 42) -> int:
         hashes = [digest(b"%b %b %b" % x, seed) for x in zip(own, own[1:], own[2:], strict=False)]
     else:
         hashes = [digest(b" ".join(own[i : i + words]), seed) for i in range(len(own) - words + 1)]
+    return simhash(hashes)
+
+
+def simhash(hashes) -> int:
+    """A bit is 1 if over half of the hashes have it."""
     ones = np.zeros(BITS, np.int64)
     for first in range(0, len(hashes), 1 << 16):
         some = np.array(hashes[first : first + (1 << 16)], "<u8")

@@ -1,12 +1,17 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, found by prefix filtering.
+"""Near-duplicate texts: SimHash fingerprints joined by Burkhard-Keller trees, confirmed by the exact
+Jaccard similarity of word shingles.
+
+A radius of 3 bits, which separates fingerprints without looking at texts, misses most pairs of
+similarity 0.8: these differ in about ten of 64 bits, and random texts in 32. So the search goes to
+RADIUS bits, and every pair it finds is confirmed on the texts. No split of 64 bits into blocks
+separates texts at such a radius; the shards that hold the trees are therefore those of prefix filtering:
 
 Put the shingles of all texts in one order. Of two sets whose similarity is at least t, the
-first |x| - ceil(t |x|) + 1 shingles of each share one. So each set is sent only under these, and
-whatever meets under a shingle is compared in full: no pair is missed, whatever the order. The order
-decides the work alone: shingles that a sample finds often come last. Two bounds, which no similar pair
-breaks, spare most comparisons: what can still be shared after a common shingle's places, and the bits
-in which parity sketches differ, which are at most the shingles that one set alone has. SimHash would not do here: sets
-at 0.8 differ in about ten of 64 bits, and no split of 64 bits into eleven blocks separates texts.
+first |x| - ceil(t |x|) + 1 shingles of each share one. So each fingerprint goes to the shards of its
+text's first shingles, and no similar pair has all its shards apart, whatever the order. Shingles that
+a sample finds often come last, which keeps the shards small. Members of a small shard are compared at
+once; in a large one the member nearest to the majority of the fingerprints, bit by bit, is compared with
+all others first, and a tree joins what these links leave apart.
 """
 
 from __future__ import annotations
@@ -21,17 +26,23 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotated, slices, stored
+from .common import annotated, check_names, slices, stored
 from .graphs import components
+from .simhash import BulkBKTree, simhash
 
 #: Texts, at most (about), in which frequent shingles are sought, and how often makes one frequent.
 SAMPLE, OFTEN = 8_000, 3
-#: Shards of the prefixes; shingles that more sets than this share are linked in two rounds.
-SHARDS, LARGE = 256, 32
+#: Shards of the prefixes at least, their entries (about); shingles that more sets than LARGE share are
+#: linked in two rounds.
+SHARDS, PER_SHARD, LARGE = 256, 1 << 20, 32
+#: Texts of the sample that have a shingle from which on its entries are not dealt to one shard.
+HOT = 16
 #: Entries that a task holds before it passes them on.
 FLUSH = 1 << 20
-#: Bits of a sketch.
-SKETCH = 2048
+#: Bits in which fingerprints of similar texts may differ. For shingle sets of similarity 0.8 the number is
+#: binomial with mean 9.7 and deviation 2.9: one pair in some ten thousand is further apart, and none
+#: to speak of at 0.85.
+RADIUS = 20
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
@@ -58,11 +69,6 @@ def prefix(own: np.ndarray, least: float, frequent: np.ndarray, rank: np.ndarray
     return own[np.lexsort((own, np.where(frequent[at] == own, rank[at], 0)))[:size]]
 
 
-def sketch(own: np.ndarray) -> bytes:
-    """For each bit, whether an odd number of the shingles falls on it."""
-    return np.packbits(np.bincount((own % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
-
-
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both >= least * (len(a) + len(b) - both) - 1e-9
@@ -89,19 +95,19 @@ def _frequent(docs: DataFrame, words: int, text_col: str) -> tuple[np.ndarray, n
 
 
 def _blob(rows: np.ndarray) -> bytes:
-    """Entries (shingle, key, size, place), ascending by shingle: differences of shingles, byte planes apart."""
+    """Entries (shingle, key, fingerprint, size, place), ascending by shingle: differences of shingles, byte planes apart."""
     gaps = np.diff(rows["s"], prepend=np.uint64(0))
-    planes = [x.astype(kind).view(np.uint8).reshape(len(rows), -1).T.tobytes() for x, kind in ((gaps, "<u8"), (rows["k"], "<i8"), (rows["n"], "<u4"), (rows["p"], "<u4"))]
-    return b"".join(planes)
+    return b"".join((gaps if name == "s" else rows[name]).astype(kind).view(np.uint8).reshape(len(rows), -1).T.tobytes() for name, kind in FIELDS)
 
 
-ENTRY = np.dtype([("s", "<u8"), ("k", "<i8"), ("n", "<u4"), ("p", "<u4")])
+FIELDS = [("s", "<u8"), ("k", "<i8"), ("f", "<u8"), ("n", "<u4"), ("p", "<u4")]
+ENTRY = np.dtype(FIELDS)
 
 
 def _entries(data: bytes) -> np.ndarray:
     size = len(data) // ENTRY.itemsize
     rows, at = np.empty(size, ENTRY), 0
-    for name, kind in (("s", "<u8"), ("k", "<i8"), ("n", "<u4"), ("p", "<u4")):
+    for name, kind in FIELDS:
         width = np.dtype(kind).itemsize
         rows[name] = np.ascontiguousarray(np.frombuffer(data, np.uint8, width * size, at).reshape(width, -1).T).view(kind).ravel()
         at += width * size
@@ -117,41 +123,54 @@ def _ordered(parts: list[np.ndarray]) -> np.ndarray:
     return own[np.append(True, ~same)]
 
 
-def _prefixes(rows: DataFrame, words: int, least: float, text_col: str, frequent) -> DataFrame:
-    """shard and entries: what each task found, packed."""
+def _prefixes(rows: DataFrame, words: int, least: float, text_col: str, frequent, shards: int) -> DataFrame:
+    """shard and entries: what each task found, packed. Shingles that the sample found often may have any
+    number of entries, which would meet in one task: those are plain rows, as ``_met`` gives them."""
     sent = rows.sparkSession.sparkContext.broadcast(frequent)  # of a bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, zip_ = [], 0, zstandard.ZstdCompressor(level=1)
+        hot = sent.value[0][sent.value[1] >= HOT]
 
-        def out() -> pa.RecordBatch:
+        def out() -> Iterator[pa.RecordBatch]:
             own = _ordered(held)
-            shard = (own["s"] >> np.uint64(64 - (SHARDS.bit_length() - 1))).astype(np.int64)
-            cuts = np.searchsorted(shard, np.arange(SHARDS + 1))
-            found = [(s, zip_.compress(_blob(own[cuts[s] : cuts[s + 1]]))) for s in range(SHARDS) if cuts[s] < cuts[s + 1]]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.binary())], names=["shard", "entries"])
+            often = np.isin(own["s"], hot)
+            yield _members(own[often])
+            own = own[~often]
+            shard = (own["s"] >> np.uint64(64 - (shards.bit_length() - 1))).astype(np.int64)
+            cuts = np.searchsorted(shard, np.arange(shards + 1))
+            found = [(s, zip_.compress(_blob(own[cuts[s] : cuts[s + 1]]))) for s in np.flatnonzero(np.diff(cuts)).tolist()]
+            nothing = pa.nulls(len(found), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.binary()), nothing, nothing, nothing, nothing], names=["shard", "entries", "s", "k", "f", "n"])
 
         for batch in batches:
             for part in slices(batch, "text"):
-                for k, text in zip(part.column("_key").to_pylist(), part.column("text").to_pylist(), strict=True):
+                for k, f, text in zip(*(part.column(c).to_pylist() for c in ("_key", "_fp", "text")), strict=True):
                     own = shingles(text, words)
                     first = prefix(own, least, *sent.value)
                     entry = np.empty(len(first), ENTRY)
-                    entry["s"], entry["k"], entry["n"], entry["p"] = first, k, len(own), np.arange(len(first))
+                    entry["s"], entry["k"], entry["f"], entry["n"], entry["p"] = first, k, np.int64(f).view(np.uint64), len(own), np.arange(len(first))
                     held.append(entry)
                     size += len(first)
                     if size >= FLUSH:
-                        yield out()
+                        yield from out()
                         held, size = [], 0
         if size:
-            yield out()
+            yield from out()
+
+    texts = rows.select("_key", "_fp", F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    return texts.mapInArrow(run, "shard int, entries binary, s long, k long, f long, n long")
 
-    return rows.select("_key", F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text")).mapInArrow(run, "shard int, entries binary")
 
+def _members(own: np.ndarray) -> pa.RecordBatch:
+    nothing = [pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.binary())]
+    plain = [pa.array(x) for x in (own["s"].view(np.int64), own["k"].astype(np.int64), own["f"].view(np.int64), own["n"].astype(np.int64))]
+    return pa.RecordBatch.from_arrays([*nothing, *plain], names=["shard", "entries", "s", "k", "f", "n"])
 
-def _met(prefixes: DataFrame, least: float) -> DataFrame:
-    """What meets under a shingle: pairs a, b to compare, all of a small group and those with its first
-    member of a large one; and the members of large groups, as a (key), b (size) and s (shingle)."""
+
+def _met(prefixes: DataFrame, least: float, shards: int) -> DataFrame:
+    """What meets under a shingle: pairs a, b to confirm of a small group; and the members of large groups:
+    s (shingle), k (key), f (fingerprint), n (size)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
@@ -162,21 +181,20 @@ def _met(prefixes: DataFrame, least: float) -> DataFrame:
             sizes = np.diff(np.append(starts, len(own)))
             size, first = np.repeat(sizes, sizes), np.repeat(starts, sizes)
             at = np.flatnonzero((size > 1) & (size <= LARGE))
-            large = np.flatnonzero(size > LARGE)
             left = own["n"].astype(np.int64) - own["p"]  # what the sets can share from here on
-            low, high = [first[large]], [large]
+            low, high = [], []
             for lag in range(1, LARGE):
                 at = at[at + lag < first[at] + size[at]]
                 at = at[own["n"][at + lag] * least <= own["n"][at] + 1e-9]  # sizes ascend: more lag is no better
                 ok = at[np.minimum(left[at], left[at + lag]) >= least / (1 + least) * (own["n"][at].astype(np.int64) + own["n"][at + lag]) - 1e-9]
+                ok = ok[np.bitwise_count(own["f"][ok] ^ own["f"][ok + lag]) <= RADIUS]
                 low.append(ok)
                 high.append(ok + lag)
-            a, b = np.concatenate(low), np.concatenate(high)
-            near = own["n"][b] * least <= own["n"][a] + 1e-9
-            both = np.stack([own["k"][a[near]], own["k"][b[near]]], axis=1)
+            both = np.stack([own["k"][np.concatenate(low)], own["k"][np.concatenate(high)]], axis=1)
             both = np.unique(np.sort(both[both[:, 0] != both[:, 1]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.int64())], names=["a", "b", "s"])
-            yield pa.RecordBatch.from_arrays([pa.array(own["k"][large]), pa.array(own["n"][large].astype(np.int64)), pa.array(own["s"][large].view(np.int64))], names=["a", "b", "s"])
+            yield _rows(a=both[:, 0], b=both[:, 1])
+            many = own[size > LARGE]
+            yield _rows(s=many["s"].view(np.int64), k=many["k"], f=many["f"].view(np.int64), n=many["n"])
 
         shard, held = None, []
         for batch in batches:
@@ -189,24 +207,45 @@ def _met(prefixes: DataFrame, least: float) -> DataFrame:
         if held:
             yield from out(held)
 
-    dealt = prefixes.repartition(SHARDS, F.col("shard")).sortWithinPartitions("shard")
-    return dealt.mapInArrow(run, "a long, b long, s long")
+    dealt = prefixes.repartition(shards, F.col("shard")).sortWithinPartitions("shard")
+    return dealt.mapInArrow(run, "a long, b long, s long, k long, f long, n long")
+
+
+def _rows(**columns: np.ndarray) -> pa.RecordBatch:
+    size = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[c].astype(np.int64)) if c in columns else pa.nulls(size, pa.int64()) for c in "abskfn"], names=list("abskfn"))
+
+
+def _stars(members: DataFrame, least: float) -> DataFrame:
+    """Pairs a, b of each large group's centre and its other members. The centre is the member whose
+    fingerprint is nearest to the majority of all, bit by bit: of copies of one text with a change
+    here and there, that is the text. Sums by group are taken before the shuffle, and the sides of
+    joins are written, so a group of any size is split."""
+    bits = [F.sum(F.shiftright("f", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64)]
+    sums = members.groupBy("s").agg(F.count("*").alias("of"), *bits)
+    majority = F.lit(0).cast("long")
+    for i in range(64):
+        majority = majority.bitwiseOR(F.when(2 * F.col(f"b{i}") > F.col("of"), F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long")))
+    sums = stored(sums.select("s", majority.alias("m")), "majorities")
+    away = members.join(sums, "s").select("s", F.struct(F.bit_count(F.col("f").bitwiseXOR(F.col("m"))).alias("d"), "k", "f", "n").alias("o"))
+    centres = stored(away.groupBy("s").agg(F.min("o").alias("c")).select("s", "c.*").toDF("s", "d", "ck", "cf", "cn"), "centres")
+    near = members.join(centres, "s").filter((F.col("k") != F.col("ck")) & (F.bit_count(F.col("f").bitwiseXOR(F.col("cf"))) <= RADIUS) & (F.least("n", "cn") >= least * F.greatest("n", "cn") - 1e-9))
+    return near.select(F.least("k", "ck").alias("a"), F.greatest("k", "ck").alias("b")).distinct()
 
 
 def _apart(members: DataFrame, least: float) -> DataFrame:
-    """Pairs a, b of members of a large group (columns s, k, n, root) that no link has joined so far."""
+    """Pairs a, b of members of a large group (columns s, k, f, n, root) that no link has joined so far,
+    found by a Burkhard-Keller tree over the group's fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = pa.Table.from_batches(rows)
-            k, n, root = (own[c].to_numpy() for c in ("k", "n", "root"))
-            order = np.lexsort((k, n))
-            k, n, root = k[order], n[order], root[order]
-            for i in range(len(k) - 1):
-                rest = np.arange(i + 1, int(np.searchsorted(n, n[i] / least + 1e-9, "right")))
-                rest = rest[root[rest] != root[i]]
-                if len(rest):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(k[rest], k[i])), pa.array(np.maximum(k[rest], k[i]))], names=["a", "b"])
+            k, f, n, root = (own[c].to_numpy() for c in ("k", "f", "n", "root"))
+            for x, y in BulkBKTree(f.view(np.uint64)).within(RADIUS):
+                ok = (root[x] != root[y]) & (np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y]) - 1e-9)
+                if ok.any():
+                    a, b = k[x[ok]], k[y[ok]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         now, held = None, []
         for batch in batches:
@@ -226,25 +265,9 @@ def _apart(members: DataFrame, least: float) -> DataFrame:
     return members.repartition(F.col("s")).sortWithinPartitions("s").mapInArrow(run, "a long, b long")
 
 
-def _plausible(pairs: DataFrame, least: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sketches do not rule the similarity out. Sides of joins are written, so that
-    hot keys are split."""
-    one = stored(pairs.join(least.select(F.col("_key").alias("a"), F.col("sketch").alias("x"), F.col("size").alias("m")), "a"), "sides")
-    two = one.join(least.select(F.col("_key").alias("b"), F.col("sketch").alias("y"), F.col("size").alias("n")), "b").select("a", "b", "x", "y", "m", "n")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH // 8) for c in ("x", "y"))
-            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            most = (1 - similarity) / (1 + similarity) * (batch.column("m").to_numpy() + batch.column("n").to_numpy())
-            yield batch.select(["a", "b"]).filter(pa.array(apart <= most + 1e-9))
-
-    return stored(two.mapInArrow(run, "a long, b long"), "plausible")
-
-
 def _confirmed(pairs: DataFrame, rows: DataFrame, least: DataFrame, words: int, similarity: float, text_col: str) -> DataFrame:
-    """The pairs whose sets have the similarity. Texts travel compressed."""
-    pairs = _plausible(pairs, least, similarity)
+    """The pairs whose sets have the similarity. Texts travel compressed; sides of joins are written, so
+    that hot keys are split."""
     wanted = pairs.select(F.col("a").alias("_key")).unionByName(pairs.select(F.col("b").alias("_key"))).distinct()
     chosen = wanted.join(least, "_key").select("least.row")
 
@@ -277,30 +300,34 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, least: DataFrame, words: int,
 
 def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row, with all its columns, of each component of rows whose sets of shingles have at least
-    that Jaccard similarity: the one with the smallest identifier, null ones last; of rows that share
-    it, one. Texts without a word, null ones among them, are alike. Repeated rows are alike too.
+    that Jaccard similarity (and whose fingerprints are within RADIUS bits): the one with the smallest
+    identifier, null ones last; of rows that share it, one. Texts without a word, null ones among
+    them, are alike. Repeated rows are alike too. An empty table gives an empty one.
     """
-    clash = {"_row", "_key", "_sketch", "_size"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are there already")
+    added = {"_row": "long", "_key": "long", "_fp": "long", "_size": "long"}
+    check_names(docs, added)
 
     def make():
         def one(text):
             own = shingles((text or "").encode(), words)
-            return key(own), sketch(own), len(own)
+            return key(own), int(np.uint64(simhash(own)).astype(np.int64)), len(own)
 
         return lambda texts: [one(t) for t in texts]
 
-    rows = stored(annotated(docs, text_col, {"_key": "long", "_sketch": "binary", "_size": "long"}, make).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    rows = stored(annotated(docs, text_col, {c: added[c] for c in ("_key", "_fp", "_size")}, make).withColumn("_row", F.monotonically_increasing_id()), "rows")
     order = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
-    least = stored(rows.select("_key", "_sketch", "_size", order.alias("o")).groupBy("_key").agg(F.min("o").alias("least"), F.first("_sketch").alias("sketch"), F.first("_size").alias("size")), "least")
-    met = stored(_met(_prefixes(rows, words, similarity, text_col, _frequent(docs, words, text_col)), similarity), "met")
-    pairs = stored(met.filter("s is null").select("a", "b").distinct(), "pairs")
+    least = stored(rows.select("_key", "_size", order.alias("o")).groupBy("_key").agg(F.min("o").alias("least"), F.first("_size").alias("size")), "least")
+    entries = least.agg(F.coalesce(F.sum((1 - similarity) * F.col("size") + 1), F.lit(0.0))).first()[0]
+    shards = max(SHARDS, 1 << max(0, math.ceil(entries / PER_SHARD) - 1).bit_length())
+    firsts = stored(_prefixes(rows, words, similarity, text_col, _frequent(docs, words, text_col), shards), "prefixes")
+    met = stored(_met(firsts.filter("entries is not null").select("shard", "entries"), similarity, shards), "met")
+    several = met.filter("s is not null").select("s", "k", "f", "n").unionByName(firsts.filter("s is not null").select("s", "k", "f", "n").distinct())
+    members = stored(several, "members")
+    pairs = stored(met.filter("a is not null").select("a", "b").unionByName(_stars(members, similarity)).distinct(), "pairs")
     links = _confirmed(pairs, rows, least, words, similarity, text_col)
-    members = met.filter("s is not null").select("s", F.col("a").alias("k"), F.col("b").alias("n"))
     if not members.isEmpty():
         roots = stored(components(links), "roots-1").withColumnRenamed("node", "k")
-        members = stored(members.join(roots, "k", "left").select("s", "k", "n", F.coalesce("root", "k").alias("root")), "members")
+        members = stored(members.join(roots, "k", "left").select("s", "k", "f", "n", F.coalesce("root", "k").alias("root")), "rooted")
         mixed = stored(members.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("s"), "mixed")
         more = _apart(members.join(mixed, "s", "left_semi"), similarity).distinct().join(pairs, ["a", "b"], "left_anti")
         links = links.unionByName(_confirmed(stored(more, "pairs-2"), rows, least, words, similarity, text_col))

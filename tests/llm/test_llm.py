@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import oracle
-from kbspark.llm import cover_tree, elias_fano, graphs, jaccard, language_id, ngram_lm, packing, pu_quality, quality_rules, queries, simhash, sstable, token_rollup, trie_bpe
+from kbspark.llm import cover_tree, elias_fano, graphs, language_id, ngram_lm, packing, pu_quality, quality_rules, queries, simhash, simhash_texts, sstable, token_rollup, trie_bpe
 from kbspark.llm.common import fold, held_out, table
 from kbspark.llm.encoding import IdEncoder, pack
 from kbspark.llm.queries import tokenizer
@@ -515,7 +515,7 @@ def alike(a, b):
 def test_near_duplicate_stage_finds_all(spark, docs, monkeypatch, large):
     import corpus_pipeline as pipeline
 
-    monkeypatch.setattr(jaccard, "LARGE", large)
+    monkeypatch.setattr(simhash_texts, "LARGE", large)
     rng = random.Random(12)
     rows = [(i, t) for i, t in enumerate(EDGE)]
     for group in range(12):
