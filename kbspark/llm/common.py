@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -37,6 +38,9 @@ def ship(spark: SparkSession) -> None:
         for source in sorted(package.rglob("*.py")):
             out.write(source, source.relative_to(package.parent))
     context.addPyFile(str(archive))
+    # Rows are whole texts, and a batch is held on both sides of the pipe.
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +66,8 @@ def shared_dir(spark: SparkSession) -> str:
         set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_already.isDefined():
             return set_already.get()
+        if not spark.sparkContext.master.startswith(("local[", "local-cluster")) and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="kbspark-")
         spark.sparkContext.setCheckpointDir(found)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -88,7 +94,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     work is done once, and a lost executor loses nothing."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what ``stored`` wrote, once nothing reads it any more, and lets Spark drop the shuffle
+    files of finished steps, which it does when the driver's garbage is collected."""
+    for df in frames:
+        _delete(df.sparkSession, df.stored_path)
+    frames[0].sparkSession._jvm.System.gc()
+
+
+#: Rows of a few numbers that a join broadcasts at most; larger sides are shuffled.
+SMALL_SIDE = 2_000_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A stored side of a join (few narrow columns), broadcast if its rows, which are counted, allow it."""
+    return F.broadcast(df) if df.count() <= SMALL_SIDE else df
+
+
+def release() -> None:
+    """Gives memory that a Python worker has freed back to the system: workers outlive their tasks, and an
+    executor's memory holds them all."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
@@ -103,6 +138,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
         held += int(size)
     if first < batch.num_rows:
         yield batch.slice(first)
+    release()
 
 
 def check_names(docs: DataFrame, names) -> None:

@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, stored
+from .common import new_folder, ship, stored
 from .elias_fano import dump, load
 from .graphs import components
 
@@ -151,8 +151,8 @@ def _near(a: CoverTree, b: CoverTree, left: np.ndarray, right: np.ndarray, wides
 
 
 def dual(a: CoverTree, b: CoverTree, eps: float, same: bool) -> Iterator[tuple[int, int, int, int]]:
-    """Ranges of vectors (first and stop in a, first and stop in b) all of whose pairs are near,
-    or single pairs that may be; where both are the same tree, each pair of vectors comes once,
+    """Ranges of vectors (first and stop in a, first and stop in b) all of whose pairs are near beyond
+    doubt, or single pairs that may be; where both are the same tree, each pair of vectors comes once,
     and a range with itself stands for all pairs within."""
     if not len(a.centre) or not len(b.centre):
         return
@@ -169,14 +169,17 @@ def dual(a: CoverTree, b: CoverTree, eps: float, same: bool) -> Iterator[tuple[i
         itself = (rows == columns) if own else np.zeros(len(rows), bool)
         alive = (away <= reach + (eps + SLACK)) & ~(itself & (a.stop[x] - a.first[x] == 1))
         # The furthest vectors of a node are up to twice its radius apart.
-        whole = alive & ((np.where(itself, reach, away + reach) <= eps - SLACK) | (reach == 0))
+        one = (a.stop[x] - a.first[x] == 1) & (b.stop[y] - b.first[y] == 1)
+        whole = alive & ((np.where(itself, reach, away + reach) <= eps - SLACK) | one)
         yield from zip(a.first[x[whole]].tolist(), a.stop[x[whole]].tolist(), b.first[y[whole]].tolist(), b.stop[y[whole]].tolist(), strict=True)
         open_ = alive & ~whole
         for node in x[open_ & itself]:
             kids = _kids(a, node)
             todo += [(one, other, m == k) for m, one in enumerate(kids) for k, other in enumerate(kids) if m <= k]
         # Of two nodes the wider one is opened, against all nodes that are left for it at once.
-        wider = open_ & ~itself & (a.radius[x] >= b.radius[y])
+        # Of two that are equally wide, vectors of one direction for instance, it is the fuller one.
+        fuller = a.stop[x] - a.first[x] >= b.stop[y] - b.first[y]
+        wider = open_ & ~itself & ((a.radius[x] > b.radius[y]) | ((a.radius[x] == b.radius[y]) & fuller))
         for row in np.unique(rows[wider]):
             todo += [(kids, y[wider & (rows == row)], False) for kids in _kids(a, left[row])]
         wider = open_ & ~itself & ~wider
@@ -262,15 +265,14 @@ def neighbours(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
     only. An empty table gives an empty one.
     """
     spark = vectors.sparkSession
+    ship(spark)
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = F.col("v").isNotNull() & ~F.coalesce(odd, F.lit(True)) & F.exists("v", lambda x: x != 0)
     rows = stored(rows.withColumn("good", F.coalesce(good, F.lit(False))), "vectors")
     merged = rows.filter("good").groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
     classes = stored(merged.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    dims = [r.d for r in classes.select(F.size("v").alias("d")).distinct().orderBy("d").limit(1001).collect()]
-    if len(dims) > 1000:
-        raise ValueError("vectors of more than 1000 different lengths")
+    dims = [r.d for r in classes.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]  # one number for each length
     found = [_links(classes.filter(F.size("v") == d), d, threshold, block) for d in dims]
     counts = [c for c, _ in found] or [spark.createDataFrame([], "cid long, links long")]
     edges = [e for _, e in found] or [spark.createDataFrame([], "a long, b long")]
@@ -371,3 +373,15 @@ def _links(classes: DataFrame, dim: int, threshold: float, block: int) -> tuple[
 
     out = stored(work.mapInArrow(compare, "cid long, links long, a long, b long"), "links")
     return out.filter("cid is not null").select("cid", "links"), out.filter("a is not null").select("a", "b")
+
+
+#: Every pair in double precision, and what links reach by a recursive query.
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+good AS (SELECT vec_id, e FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY a),
+c AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.c AS component_id, v.vec_id = c.c AS kept FROM v JOIN c ON c.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""

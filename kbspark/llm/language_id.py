@@ -30,9 +30,9 @@ DOCS_PER_LANGUAGE = 400
 ROUNDS = 3
 SMOOTHING = 0.05
 #: Words whose likelihoods a Python worker keeps; this changes speed only.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 #: Characters of words that one lattice holds, about.
-LATTICE = 1 << 20
+LATTICE = 1 << 18
 #: Columns between two scalings: so few that sums of the least probable bytes do not vanish between them.
 SCALED = 4
 MARK = "▁"  # stands before each word, as in the vocabulary

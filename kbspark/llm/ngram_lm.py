@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from itertools import chain
 
 import numpy as np
@@ -32,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, slices, stored
+from .common import new_folder, ship, slices, stored
 from .elias_fano import EliasFano, dump, load
 
 #: Not a word, as words hold no white space.
@@ -41,6 +41,8 @@ END = b"\n"
 STRENGTH = 400.0
 #: Tokens for each shard of pairs, and distinct words for each shard of the vocabulary, at most (about).
 TOKENS_PER_SHARD, WORDS_PER_SHARD, LEAST_SHARDS = 1 << 20, 1 << 20, 64
+#: Shards of the vocabulary, and of the pairs, that a worker holds open at most.
+OPEN_SHARDS = 128
 #: Logarithms of probabilities are written in steps of this size.
 STEP = 1 / 4096
 #: Tokens whose pairs a task counts before it passes them on.
@@ -96,13 +98,33 @@ class Model:
         self.vocabulary, self.offsets, self.pairs, self.end_id = vocabulary, offsets, pairs, end_id
 
 
+class Shards(Mapping):
+    """Shards by number, opened when they are needed; ``most`` of them stay open."""
+
+    def __init__(self, paths: list[str | None], most: int):
+        self.paths, self.most, self.open = paths, most, {}
+
+    def __len__(self) -> int:
+        return len(self.paths)
+
+    def __iter__(self):
+        return iter(range(len(self.paths)))
+
+    def __getitem__(self, s: int):
+        if s not in self.open:
+            if len(self.open) >= self.most:
+                self.open.pop(next(iter(self.open)))  # the one that has been open for longest
+            self.open[s] = self.paths[s] and _open(self.paths[s])
+        return self.open[s]
+
+
 class Reader:
-    """Looks words and pairs up, a batch at a time."""
+    """Looks words and pairs up, a batch at a time and shard by shard, so that each shard that a batch
+    needs is opened once; few are open at a time, however many there are."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, most: int = OPEN_SHARDS):
         self.m = model
-        self.words = [_open(p) for p in model.vocabulary]
-        self.tries = [p and _open(p) for p in model.pairs]
+        self.words, self.tries = Shards(model.vocabulary, most), Shards(model.pairs, most)
         self.bits = len(model.vocabulary).bit_length() - 1
 
     def find(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +134,8 @@ class Reader:
         ids, counts = np.full(len(words), -1, np.int64), np.zeros(len(words), np.int64)
         order = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(len(self.words) + 1))
-        for s, (sequences, arrays, _) in enumerate(self.words):
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            sequences, arrays, _ = self.words[s]
             own = order[cuts[s] : cuts[s + 1]]
             at = sequences["hashes"].search(hashes[own])
             hit = at >= 0
@@ -125,8 +148,8 @@ class Reader:
         out = np.zeros(len(ids), np.int64)
         order = np.argsort(ids, kind="stable")
         cuts = np.searchsorted(ids[order], [*self.m.offsets, self.m.distinct])
-        for s, (_, arrays, _) in enumerate(self.words):
-            own = order[cuts[s] : cuts[s + 1]]
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            own, arrays = order[cuts[s] : cuts[s + 1]], self.words[s][1]
             out[own] = arrays["counts"][ids[own] - self.m.offsets[s]]
         return out
 
@@ -139,9 +162,9 @@ class Reader:
         shard = _pair_shard(keys, len(self.tries))
         order = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(len(self.tries) + 1))
-        for s, trie in enumerate(self.tries):
-            own = order[cuts[s] : cuts[s + 1]]
-            if trie is None or not len(own):
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            own, trie = order[cuts[s] : cuts[s + 1]], self.tries[s]
+            if trie is None:
                 continue
             sequences, arrays, meta = trie
             context = sequences["contexts"].search(keys[own] >> np.uint64(32))
@@ -215,11 +238,12 @@ def learn(docs: DataFrame, train: Column, strength: float = STRENGTH, text_col:
     The driver gets the totals and a path for each shard. Null texts count as empty ones: an end
     token. With nothing to learn from, every token is unknown and scores as one of one.
     """
+    ship(docs.sparkSession)
     folder = new_folder(docs.sparkSession, "lm")
     texts = _texts(docs.filter(train), text_col)
     words = stored(texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     total, distinct, top = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
-    shards, seed = _power(-(-distinct // WORDS_PER_SHARD)), 0
+    shards, seed = _power(-(-distinct // WORDS_PER_SHARD)), 0  # the functions below use the seed of the moment
     width = "<u4" if top < 1 << 32 else "<u8"
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,12 +258,16 @@ def learn(docs: DataFrame, train: Column, strength: float = STRENGTH, text_col:
             h = own["h"].to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
             order = np.argsort(h, kind="stable")
             if (h[order][1:] == h[order][:-1]).any():
-                raise ValueError("two words share a hash; choose another seed")
+                yield _row(shard, None, len(h))  # two words share a hash: another seed is tried
+                continue
             data = dump({"hashes": EliasFano.build(h[order])}, {"counts": own["n"].to_numpy()[order].astype(width)}, {})
             yield _row(shard, _save(folder, f"words-{shard:06d}", data), len(h))
 
-    dealt = words.mapInArrow(hashed, "shard int, h long, n long").repartition(shards, F.col("shard")).sortWithinPartitions("shard")
-    found = stored(dealt.mapInArrow(write_words, "shard int, path string, n long"), "words-manifest").collect()  # one row for each shard
+    for seed in range(100):
+        dealt = words.mapInArrow(hashed, "shard int, h long, n long").repartition(shards, F.col("shard")).sortWithinPartitions("shard")
+        found = stored(dealt.mapInArrow(write_words, "shard int, path string, n long"), "words-manifest").collect()  # one row for each shard
+        if all(r.path is not None for r in found):
+            break
     paths, sizes = dict((r.shard, r.path) for r in found), dict((r.shard, r.n) for r in found)
     empty = _save(folder, "words-none", dump({"hashes": EliasFano.build(np.zeros(0, np.uint64))}, {"counts": np.zeros(0, width)}, {}))
     vocabulary = [paths.get(s, empty) for s in range(shards)]
@@ -303,8 +331,8 @@ def learn(docs: DataFrame, train: Column, strength: float = STRENGTH, text_col:
     return model
 
 
-def _row(shard: int, path: str, n: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path]), pa.array([n], pa.int64())], names=["shard", "path", "n"])
+def _row(shard: int, path: str | None, n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path], pa.string()), pa.array([n], pa.int64())], names=["shard", "path", "n"])
 
 
 def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
@@ -348,6 +376,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Scores are log10 probabilities of the whole text and its end. Null texts count as empty ones;
     identifiers pass through. Batches of a few MB are looked up shard by shard in mapped files.
     """
+    ship(docs.sparkSession)
     sent, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # a path for each shard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

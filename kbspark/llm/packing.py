@@ -19,15 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import check_names, ship, slices, stored
 from .encoding import encoder
 
 #: Pieces in a partition that packs on its own: it holds a few numbers for each.
 PER_PARTITION = 50_000
 #: The emptiest bins that a partition at its bound gives to an exchange.
 SHARED_BINS = 4
-#: Exchanges at most; each has as many partitions as its rows need.
-ROUNDS = 8
 
 
 def cut(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,23 +148,27 @@ def pack(pieces: DataFrame, capacity: int, per_partition: int = PER_PARTITION) -
     through, and a clash with the names added here is an error. An empty table stays empty.
 
     Every partition holds about ``per_partition`` rows whatever the data, since rows are dealt by a
-    number of their own. What the driver gets is one count for each length.
+    number of their own. Exchanges go on as long as a round saves a sequence. What the driver gets is one
+    count for each length. ``certificate`` of the result holds the number of sequences and the lower
+    bound on it. A length that is null or out of range is an error.
     """
-    clash = {"sequence_id", "offset", "loose", "_row"} & set(pieces.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} would be overwritten")
+    check_names(pieces, ["sequence_id", "offset", "loose", "_row"])
+    ship(pieces.sparkSession)
     added = {"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long"), "loose": F.lit(True)}
     rows = stored(pieces.withColumn("_row", F.monotonically_increasing_id()).withColumns(added), "pieces")
     counts = np.zeros(capacity + 1, np.int64)
-    for row in rows.groupBy("length").count().collect():  # at most one row for each length
+    inside = F.col("length").between(1, capacity)
+    for row in rows.groupBy(F.when(inside, F.col("length")).alias("length")).count().collect():  # at most one row for each length
+        if row["length"] is None:
+            raise ValueError(f"{row['count']} rows have a length that is null or not in 1 to {capacity}")
         counts[row["length"]] = row["count"]
     n_full, counts[capacity] = int(counts[capacity]), 0
     done = [rows.filter(F.col("length") == capacity).withColumns({"sequence_id": F.lit(255 << 55).cast("long") + F.col("_row"), "offset": F.lit(0).cast("long")})]
     loose, n_loose, bound = rows.filter(F.col("length") < capacity), int(counts.sum()), lower_bound(counts, capacity)
     schema, settled, parts = rows.schema, 0, -(-int(counts.sum()) // per_partition)
-    for mark in range(1, ROUNDS + 2):
-        if n_loose == 0:
-            break
+    before, mark = None, 0
+    while n_loose:
+        mark += 1
         key = "_row" if mark == 1 else "sequence_id"
         packed = stored(loose.repartition(max(1, parts), F.xxhash64(key)).mapInArrow(lambda batches, m=mark: _packed(batches, capacity, m), schema), f"packed-{mark}")
         found = packed.groupBy("loose").agg(F.countDistinct("sequence_id").alias("bins"), F.count("*").alias("n")).collect()
@@ -175,16 +177,18 @@ def pack(pieces: DataFrame, capacity: int, per_partition: int = PER_PARTITION) -
         done.append(packed.filter(~F.col("loose")))
         settled += bins.get(False, 0)
         loose, n_loose = packed.filter("loose"), n.get(True, 0)
-        if settled + bins.get(True, 0) <= bound or parts <= 1:
+        sequences = settled + bins.get(True, 0)
+        if sequences <= bound or parts <= 1 or (before is not None and sequences >= before):
             done.append(loose)
+            settled = sequences
             break
-        parts = -(-n_loose // per_partition)
-    else:
-        done.append(loose)
+        before, parts = sequences, -(-n_loose // per_partition)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.drop("loose", "_row")
+    out = out.drop("loose", "_row")
+    out.certificate = {"sequences": settled + n_full, "at_least": bound + n_full}
+    return out
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

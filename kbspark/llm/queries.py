@@ -70,6 +70,12 @@ def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rollup.maintained(table(spark, sf_dir, "documents"))
 
 
+def token_rollup_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator with versions that are tokenizer files."""
+    versions = ("word_bpe_49k", "byte_bpe_50k")
+    return token_rollup.by_tokenizer(table(spark, sf_dir, "documents"), {v: tokenizer(f"{v}.json") for v in versions})
+
+
 def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.neighbours(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
@@ -85,9 +91,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_elias_fano_lm": op8_elias_fano_lm,
     "op9_token_rollup": op9_token_rollup,
     "op10_cover_tree": op10_cover_tree,
+    "token_rollup_files": token_rollup_files,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_risk_rules": quality_rules.oracle(),
     "op9_token_rollup": token_rollup.ORACLE,
+    "op10_cover_tree": cover_tree.ORACLE,
 }

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotated, slices, stored
+from .common import annotated, check_names, ship, slices, stored
 from .graphs import components
 
 BITS = 64
@@ -54,6 +54,7 @@ def simhash(hashes) -> int:
 
 def fingerprints(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long). A null text counts as an empty one."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,9 +277,7 @@ def keep_first(docs: DataFrame, words: int = 5, radius: int = 3, id_col: str = "
     def make():
         return lambda texts: [(int(np.uint64(fingerprint((t or "").encode(), words)).astype(np.int64)),) for t in texts]
 
-    clash = {"_row", "_fp"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are there already")
+    check_names(docs, ["_row", "_fp"])
     rows = stored(annotated(docs, text_col, {"_fp": "long"}, make).withColumn("_row", F.monotonically_increasing_id()), "rows")
     order = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
     least = stored(rows.select(F.col("_fp").alias("fp"), order.alias("o")).groupBy("fp").agg(F.min("o").alias("least")), "prints")

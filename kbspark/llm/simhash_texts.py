@@ -21,12 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotated, check_names, slices, stored
+from .common import annotated, check_names, discard, slices, small_side, stored
 from .graphs import components
 from .simhash import BulkBKTree, simhash
 
@@ -38,7 +39,7 @@ SHARDS, PER_SHARD, LARGE = 256, 1 << 20, 32
 #: Texts of the sample that have a shingle from which on its entries are not dealt to one shard.
 HOT = 16
 #: Entries that a task holds before it passes them on.
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 #: Bits in which fingerprints of similar texts may differ. For shingle sets of similarity 0.8 the number is
 #: binomial with mean 9.7 and deviation 2.9: one pair in some ten thousand is further apart, and none
 #: to speak of at 0.85.
@@ -135,13 +136,17 @@ def _prefixes(rows: DataFrame, words: int, least: float, text_col: str, frequent
         def out() -> Iterator[pa.RecordBatch]:
             own = _ordered(held)
             often = np.isin(own["s"], hot)
-            yield _members(own[often])
+            many = own[often]
+            # Dealt by their keys, not by their shingle.
+            spread = (many["k"].view(np.uint64) % np.uint64(shards)).astype(np.int32)
+            plain = [pa.array(x) for x in (many["s"].view(np.int64), many["k"].astype(np.int64), many["f"].view(np.int64), many["n"].astype(np.int64), many["p"].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.nulls(len(many), pa.binary()), *plain], names=["shard", "entries", *"skfnp"])
             own = own[~often]
             shard = (own["s"] >> np.uint64(64 - (shards.bit_length() - 1))).astype(np.int64)
             cuts = np.searchsorted(shard, np.arange(shards + 1))
             found = [(s, zip_.compress(_blob(own[cuts[s] : cuts[s + 1]]))) for s in np.flatnonzero(np.diff(cuts)).tolist()]
             nothing = pa.nulls(len(found), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.binary()), nothing, nothing, nothing, nothing], names=["shard", "entries", "s", "k", "f", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.binary()), *[nothing] * 5], names=["shard", "entries", *"skfnp"])
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -159,18 +164,12 @@ def _prefixes(rows: DataFrame, words: int, least: float, text_col: str, frequent
             yield from out()
 
     texts = rows.select("_key", "_fp", F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
-    return texts.mapInArrow(run, "shard int, entries binary, s long, k long, f long, n long")
-
-
-def _members(own: np.ndarray) -> pa.RecordBatch:
-    nothing = [pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.binary())]
-    plain = [pa.array(x) for x in (own["s"].view(np.int64), own["k"].astype(np.int64), own["f"].view(np.int64), own["n"].astype(np.int64))]
-    return pa.RecordBatch.from_arrays([*nothing, *plain], names=["shard", "entries", "s", "k", "f", "n"])
+    return texts.mapInArrow(run, "shard int, entries binary, s long, k long, f long, n long, p long")
 
 
 def _met(prefixes: DataFrame, least: float, shards: int) -> DataFrame:
     """What meets under a shingle: pairs a, b to confirm of a small group; and the members of large groups:
-    s (shingle), k (key), f (fingerprint), n (size)."""
+    s (shingle), k (key), f (fingerprint), n (size), p (the shingle's place among the set's)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
@@ -194,10 +193,13 @@ def _met(prefixes: DataFrame, least: float, shards: int) -> DataFrame:
             both = np.unique(np.sort(both[both[:, 0] != both[:, 1]], axis=1), axis=0)
             yield _rows(a=both[:, 0], b=both[:, 1])
             many = own[size > LARGE]
-            yield _rows(s=many["s"].view(np.int64), k=many["k"], f=many["f"].view(np.int64), n=many["n"])
+            yield _rows(s=many["s"].view(np.int64), k=many["k"], f=many["f"].view(np.int64), n=many["n"], p=many["p"])
 
         shard, held = None, []
         for batch in batches:
+            often = batch.filter(pc.is_null(batch.column("entries")))
+            yield _rows(**{c: often.column(c).to_numpy() for c in "skfnp"})
+            batch = batch.filter(pc.is_valid(batch.column("entries")))
             for now, blob in zip(batch.column("shard").to_pylist(), batch.column("entries").to_pylist(), strict=True):
                 if now != shard and held:
                     yield from out(held)
@@ -208,12 +210,12 @@ def _met(prefixes: DataFrame, least: float, shards: int) -> DataFrame:
             yield from out(held)
 
     dealt = prefixes.repartition(shards, F.col("shard")).sortWithinPartitions("shard")
-    return dealt.mapInArrow(run, "a long, b long, s long, k long, f long, n long")
+    return dealt.mapInArrow(run, "a long, b long, s long, k long, f long, n long, p long")
 
 
 def _rows(**columns: np.ndarray) -> pa.RecordBatch:
     size = len(next(iter(columns.values())))
-    return pa.RecordBatch.from_arrays([pa.array(columns[c].astype(np.int64)) if c in columns else pa.nulls(size, pa.int64()) for c in "abskfn"], names=list("abskfn"))
+    return pa.RecordBatch.from_arrays([pa.array(columns[c].astype(np.int64)) if c in columns else pa.nulls(size, pa.int64()) for c in "abskfnp"], names=list("abskfnp"))
 
 
 def _stars(members: DataFrame, least: float) -> DataFrame:
@@ -234,15 +236,16 @@ def _stars(members: DataFrame, least: float) -> DataFrame:
 
 
 def _apart(members: DataFrame, least: float) -> DataFrame:
-    """Pairs a, b of members of a large group (columns s, k, f, n, root) that no link has joined so far,
-    found by a Burkhard-Keller tree over the group's fingerprints."""
+    """Pairs a, b of members of a large group (columns s, k, f, n, p, root) that no link has joined so far,
+    found by a Burkhard-Keller tree over the group's fingerprints. Only pairs that can be similar with
+    this shingle as the first that they share: texts that share a passage everybody has drop out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = pa.Table.from_batches(rows)
-            k, f, n, root = (own[c].to_numpy() for c in ("k", "f", "n", "root"))
+            k, f, n, p, root = (own[c].to_numpy() for c in ("k", "f", "n", "p", "root"))
             for x, y in BulkBKTree(f.view(np.uint64)).within(RADIUS):
-                ok = (root[x] != root[y]) & (np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y]) - 1e-9)
+                ok = (x < y) & (root[x] != root[y]) & (np.minimum((n - p)[x], (n - p)[y]) >= least / (1 + least) * (n[x] + n[y]) - 1e-9)
                 if ok.any():
                     a, b = k[x[ok]], k[y[ok]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -269,7 +272,7 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, least: DataFrame, words: int,
     """The pairs whose sets have the similarity. Texts travel compressed; sides of joins are written, so
     that hot keys are split."""
     wanted = pairs.select(F.col("a").alias("_key")).unionByName(pairs.select(F.col("b").alias("_key"))).distinct()
-    chosen = wanted.join(least, "_key").select("least.row")
+    chosen = small_side(stored(wanted.join(least, "_key").select("least.row"), "chosen"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=1)
@@ -295,7 +298,9 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, least: DataFrame, words: int,
                     ok.append(similar(met[a], met[b], similarity))
                 yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return stored(two.mapInArrow(run, "a long, b long"), "links")
+    links = stored(two.mapInArrow(run, "a long, b long"), "links")
+    discard(texts, one)
+    return links
 
 
 def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,19 +324,19 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col:
     least = stored(rows.select("_key", "_size", order.alias("o")).groupBy("_key").agg(F.min("o").alias("least"), F.first("_size").alias("size")), "least")
     entries = least.agg(F.coalesce(F.sum((1 - similarity) * F.col("size") + 1), F.lit(0.0))).first()[0]
     shards = max(SHARDS, 1 << max(0, math.ceil(entries / PER_SHARD) - 1).bit_length())
-    firsts = stored(_prefixes(rows, words, similarity, text_col, _frequent(docs, words, text_col), shards), "prefixes")
-    met = stored(_met(firsts.filter("entries is not null").select("shard", "entries"), similarity, shards), "met")
-    several = met.filter("s is not null").select("s", "k", "f", "n").unionByName(firsts.filter("s is not null").select("s", "k", "f", "n").distinct())
-    members = stored(several, "members")
+    firsts = _prefixes(rows, words, similarity, text_col, _frequent(docs, words, text_col), shards)
+    met = stored(_met(firsts, similarity, shards), "met")
+    members = stored(met.filter("s is not null").select("s", "k", "f", "n", "p").distinct(), "members")
     pairs = stored(met.filter("a is not null").select("a", "b").unionByName(_stars(members, similarity)).distinct(), "pairs")
+    discard(met)
     links = _confirmed(pairs, rows, least, words, similarity, text_col)
     if not members.isEmpty():
         roots = stored(components(links), "roots-1").withColumnRenamed("node", "k")
-        members = stored(members.join(roots, "k", "left").select("s", "k", "f", "n", F.coalesce("root", "k").alias("root")), "rooted")
+        members = stored(members.join(roots, "k", "left").select("s", "k", "f", "n", "p", F.coalesce("root", "k").alias("root")), "rooted")
         mixed = stored(members.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("s"), "mixed")
         more = _apart(members.join(mixed, "s", "left_semi"), similarity).distinct().join(pairs, ["a", "b"], "left_anti")
         links = links.unionByName(_confirmed(stored(more, "pairs-2"), rows, least, words, similarity, text_col))
     roots = components(links).withColumnRenamed("node", "_key")
     named = stored(least.join(roots, "_key", "left").select("least", F.coalesce("root", "_key").alias("root")), "named")
-    first = named.groupBy("root").agg(F.min("least").alias("first")).select(F.col("first.row").alias("_row"))
+    first = small_side(stored(named.groupBy("root").agg(F.min("least").alias("first")).select(F.col("first.row").alias("_row")), "first"))
     return rows.join(first, "_row", "left_semi").select(*docs.columns)

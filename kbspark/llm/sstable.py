@@ -278,11 +278,12 @@ def read_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     return shards.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard string" + ", ids binary" * with_ids)
 
 
-def lookup(manifest: DataFrame, doc_ids: list[int]) -> dict[int, list[bytes]]:
-    """Ids of a few documents: the manifest's ranges (a null start is the null identifier's, which comes
+def lookup(manifest: DataFrame, doc_ids: list[int | None]) -> dict[int | None, list[bytes]]:
+    """Ids of a few documents, by identifier (null too; one that is not stored may be absent): the manifest's ranges (a null start is the null identifier's, which comes
     first), then the filter, then binary search."""
     found: dict[int, list[bytes]] = {}
     for doc_id in doc_ids:
-        for row in manifest.filter((F.col("min_id").isNull() | (F.col("min_id") <= doc_id)) & (F.col("max_id") >= doc_id)).select("path").collect():
+        inside = F.col("min_id").isNull() if doc_id is None else (F.col("min_id").isNull() | (F.col("min_id") <= doc_id)) & (F.col("max_id") >= doc_id)
+        for row in manifest.filter(inside).select("path").collect():
             found.setdefault(doc_id, []).extend(open_shard(row.path).get(doc_id))
     return found

@@ -71,6 +71,7 @@ def test_sstable(spark, docs, small):
     manifest = sstable.write_shards(docs, tokenizer("word_bpe_49k.json"), 2)
     found = sstable.lookup(manifest, [4, 5, 999])
     assert len(found[4]) == 3 and len(found[5]) == 1 and not found.get(999)
+    assert len(sstable.lookup(manifest, [None])[None]) == docs.filter("doc_id is null").count() > 0
 
 
 def test_sstable_file():
@@ -158,7 +159,11 @@ def test_packing_exchanges(spark):
     # Uniform sizes are the hard case; partitions on their own would take 3 % more than the bound.
     assert packed_well(got, 100) <= 1.025 * packing.lower_bound(counts, 100)
     with pytest.raises(ValueError):
-        packing.pack(rows.withColumn("offset", F.lit(1)), 100)
+        packing.pack(rows.withColumn("Offset", F.lit(1)), 100)
+    assert got and packing.pack(rows, 100, per_partition=200).certificate["at_least"] == packing.lower_bound(counts, 100)
+    for bad in (0, 101, None):
+        with pytest.raises(ValueError):
+            packing.pack(spark.createDataFrame([(1, bad), (2, 5)], "doc_id long, length int"), 100)
 
 
 # -- 5
@@ -446,6 +451,11 @@ def test_language_model(spark, docs, small):
         for a, b in zip(have, want, strict=True):
             assert a[:3] == b[:3] and math.isclose(a[3], b[3], rel_tol=1e-9) and abs(a[4] - b[4]) <= a[0] * ngram_lm.STEP
         assert not two or abs(sum((two[b"\n", w] + k * single(w)) / (one[b"\n"] + k) for w in one) + k / (n + v + 1) / (one[b"\n"] + k) - 1) < 1e-9
+    # However few shards are open at a time, the scores are the same.
+    model = ngram_lm.learn(small, F.lit(True))
+    one, many = ngram_lm.Reader(model, 1), ngram_lm.Reader(model, 1000)
+    some = [t.encode() for t in EDGE[1:8]]
+    assert one.score(some) == many.score(some) and len(one.words.open) == len(one.tries.open) == 1 < len(many.words.open)
     nothing = ngram_lm.score(docs, ngram_lm.learn(docs, F.lit(False))).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0 for r in nothing)
 
@@ -463,21 +473,43 @@ def test_token_rollup(spark, docs):
     assert token_rollup.maintained(docs.limit(0)).count() == 0
 
 
-def test_rollup_commits(spark):
+def test_rollup_commits(spark, monkeypatch):
     rows = spark.createDataFrame([("a", "en", "v1", 5), ("a", "en", "v1", 7), (None, None, "v1", None)], "source string, lang string, tokenizer string, tokens long")
     rollup = token_rollup.Rollup(spark)
     assert rollup.commit("1", token_rollup.insert(rows)) and not rollup.commit("1", token_rollup.insert(rows))
     state = lambda: {(r.source, r.tokenizer): (r.n_docs, r.n_tokens) for r in rollup.totals().collect()}
     assert state() == {("a", "v1"): (2, 12), (None, "v1"): (1, 0)}
+    names = lambda: sorted(r.batch for r in rollup.batches().collect())
     gone = rows.filter("tokens = 5")
     rollup.commit("2", token_rollup.revise(gone, gone.withColumns({"tokenizer": F.lit("v2"), "tokens": F.lit(6).cast("long")})))
     assert state() == {("a", "v1"): (1, 7), ("a", "v2"): (1, 6), (None, "v1"): (1, 0)}
     before = state()
     rollup.compact()
-    assert state() == before and rollup.batches() == ["1", "2"] and not rollup.commit("2", token_rollup.insert(rows))
+    assert state() == before and names() == ["1", "2"] and not rollup.commit("2", token_rollup.insert(rows))
     rollup.commit("3", token_rollup.delete(rows.filter("source is null")))
     rollup.compact()
-    assert (None, "v1") not in state() and rollup.batches() == ["1", "2", "3"]
+    assert (None, "v1") not in state() and names() == ["1", "2", "3"]
+    # A driver that dies before it has deleted what a sum replaces, twice.
+    monkeypatch.setattr(token_rollup.Rollup, "_clear", lambda self: None)
+    for batch in ("4", "5"):
+        rollup.commit(batch, token_rollup.insert(rows.limit(1)))
+        before = state()
+        rollup.compact()
+        assert state() == before and not rollup.commit(batch, token_rollup.insert(rows))
+    monkeypatch.undo()
+    rollup.compact()
+    assert state() == before and names() == ["1", "2", "3", "4", "5"] and len(rollup._state()[1]) == 0
+    assert not rollup._publish(rollup._sums(*rollup._state()).withColumn("batch", F.lit("x")), rollup._state()[0])
+
+
+def test_rollup_of_tokenizer_files(spark, docs):
+    paths = {v: tokenizer(f"{v}.json") for v in ("word_bpe_49k", "byte_bpe_50k")}
+    got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in token_rollup.by_tokenizer(docs, paths).collect()}
+    library, want = Tokenizer.from_file(paths["byte_bpe_50k"]), {}
+    for r in docs.collect():
+        n, total = want.get((r.source, r.lang, "byte_bpe_50k"), (0, 0))
+        want[r.source, r.lang, "byte_bpe_50k"] = n + 1, total + len(library.encode(r.text or "", add_special_tokens=False).ids)
+    assert got == want
 
 
 # -- 10
@@ -500,6 +532,23 @@ def test_cover_tree(spark):
     assert cover_tree.neighbours(df.limit(0)).count() == 0
 
 
+def test_scaled_copies_at_the_threshold(spark):
+    """Copies of one direction within rounding of the threshold link by their exact cosine."""
+    v = np.array([1.0, 0.0, 0.0])
+    rows = [(i, (v * (i + 1)).tolist()) for i in range(24)]
+    for k, cosine in enumerate((0.9 - 1e-7, 0.9 + 1e-7)):
+        rows.append((100 + k, [cosine, math.sqrt(1 - cosine**2), 0.0]))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block in (8, 64):
+        got = {r.vec_id: (r.n_links, r.component_id) for r in cover_tree.neighbours(df, 0.9, block=block).collect()}
+        assert got[101] == (25, 0) and got[100] == (1, 0) and all(got[i] == (24, 0) for i in range(24))
+
+
+def test_cover_tree_sql(spark):
+    db = oracle.connect("/root/testdata/sf0.01")
+    oracle.same(queries.op10_cover_tree(spark, "/root/testdata/sf0.01"), db, queries.ORACLE_SQL["op10_cover_tree"])
+
+
 # -- pipeline and queries
 
 def plain_shingles(text, words):
