@@ -52,8 +52,13 @@ def overlap_spans(text: Column, as_reference: bool = True) -> Column:
     can grow instead of moving on; without it every span starts after the start of the one before.
     """
     cpt = chars_per_token(text)
-    limit, back = MAX_TOKENS * cpt, F.ceil(OVERLAP_TOKENS * cpt / LINE_WIDTH).cast("int")
-    sizes = F.transform(F.split(text, "\n", -1), lambda x: F.length(x))
+    known = F.struct((MAX_TOKENS * cpt).alias("limit"), F.ceil(OVERLAP_TOKENS * cpt / LINE_WIDTH).cast("int").alias("back"), F.transform(F.split(text, "\n", -1), lambda x: F.length(x)).alias("sizes"), F.length(text).alias("length"))
+    # Inside the lambda these are values; as expressions they would be computed again for each line.
+    return F.transform(F.array(known), lambda k: _spans(k, as_reference))[0]
+
+
+def _spans(known: Column, as_reference: bool) -> Column:
+    limit, back, sizes = known["limit"], known["back"], known["sizes"]
     start = F.struct(F.lit(1).alias("first"), F.lit(0).alias("line"), F.lit(0).alias("chars"), F.array().cast("array<struct<first:int,last:int>>").alias("out"))
 
     def step(s: Column, size: Column) -> Column:
@@ -72,7 +77,8 @@ def overlap_spans(text: Column, as_reference: bool = True) -> Column:
         return F.when(s["first"] <= s["line"], F.concat(s["out"], rest)).otherwise(s["out"])
 
     whole = F.array(F.struct(F.lit(1).alias("first"), F.size(sizes).alias("last")))
-    return F.when(F.length(text) > limit, F.aggregate(sizes, start, step, finish)).otherwise(whole)
+    return F.when(known["length"] > limit, F.aggregate(sizes, start, step, finish)).otherwise(whole)
+
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

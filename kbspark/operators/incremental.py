@@ -27,19 +27,53 @@ def upsert(chunks: DataFrame, fresh: DataFrame, status: DataFrame, key: str = "p
     return kept.unionByName(fresh.join(come, key, "left_semi"), allowMissingColumns=True)
 
 
+POINTER = "_current"
+
+
 def publish(df: DataFrame, folder: str, partition_by: list[str] | None = None) -> None:
-    """Replaces a Parquet folder as a whole: written aside, then renamed, so readers see the old rows or
-    the new ones."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    aside, before = f"{folder}.{uuid.uuid4().hex}", f"{folder}.old.{uuid.uuid4().hex}"
+    """Replaces the rows of a table folder as a whole. Each version is a Parquet folder of its own; a small
+    file names the one that counts and is replaced by one rename, so readers (``published``) see the old
+    rows or the new ones, whenever the writer dies. The version before stays for those that still
+    read it; older ones are deleted."""
+    spark, name = df.sparkSession, f"v-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    before = _named(spark, folder)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(aside)
-    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    if files.exists(path(folder)):
-        files.rename(path(folder), path(before))
-    files.rename(path(aside), path(folder))
-    files.delete(path(before), True)
+    writer.parquet(f"{folder}/{name}")
+    out = files.create(hadoop.Path(f"{folder}/_{name}"), True)
+    out.write(bytearray(name, "ascii"))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.OVERWRITE
+    context = hadoop.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(hadoop.Path(f"{folder}/_{name}"), hadoop.Path(f"{folder}/{POINTER}"), options)
+    for entry in files.listStatus(hadoop.Path(folder)):
+        old = entry.getPath().getName()
+        if old.startswith("v-") and old not in (name, before):
+            files.delete(entry.getPath(), True)
+
+
+def _named(spark: SparkSession, folder: str) -> str | None:
+    """The version that counts."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{POINTER}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return None
+    source = files.open(path)
+    try:
+        return bytes(source.readAllBytes()).decode("ascii")
+    finally:
+        source.close()
+
+
+def published(spark: SparkSession, folder: str, schema: str | None = None) -> DataFrame | None:
+    """The rows of a table folder; none if nothing was published."""
+    name = _named(spark, folder)
+    if name is None:
+        return None
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{folder}/{name}")
 
 
 def guarded(existing: DataFrame, fresh: DataFrame, force: bool = False, key: str = "path") -> DataFrame:
@@ -123,10 +157,8 @@ class State:
         self.spark, self.folder = spark, folder
 
     def read(self) -> DataFrame:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(self.folder)
+        rows = published(self.spark, self.folder, self.SCHEMA)
+        return self.spark.createDataFrame([], self.SCHEMA) if rows is None else rows
 
     def is_old(self) -> bool:
         return not self.read().filter(F.coalesce("version", F.lit(1)) < self.VERSION).isEmpty()

@@ -22,7 +22,7 @@ def endpoints(left: DataFrame, right: DataFrame) -> DataFrame:
     side the last line counts."""
     key = ["class_name", "http_method", "endpoint"]
     a = left.select("class_name", F.upper(F.coalesce("http_method", F.lit("GET"))).alias("http_method"), F.coalesce("endpoint", F.lit("")).alias("endpoint"), F.col("method_name").alias("a_name"), F.lit(True).alias("a"))
-    last = right.withColumn("http_method", F.upper(F.coalesce("http_method", F.lit("GET")))).groupBy(*key).agg(F.max_by(F.struct("method_name", "return_type", "params", "comment", "line"), "line").alias("r"))
+    last = right.withColumns({"http_method": F.upper(F.coalesce("http_method", F.lit("GET"))), "endpoint": F.coalesce("endpoint", F.lit(""))}).groupBy(*key).agg(F.max_by(F.struct("method_name", "return_type", "params", "comment", "line"), "line").alias("r"))
     whole = a.join(last, key, "full")
     return whole.select(*key, F.coalesce("a_name", "r.method_name").alias("method_name"), *(F.coalesce(f"r.{c}", F.lit("")).alias(c) for c in ("return_type", "params", "comment")), F.coalesce("r.line", F.lit(0)).alias("line"), F.coalesce("a", F.lit(False)).alias("in_graph"))
 

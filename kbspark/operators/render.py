@@ -48,10 +48,14 @@ def method_index(methods: DataFrame, module: str) -> DataFrame:
 
 
 def state_machine(transitions: DataFrame, name: str) -> DataFrame:
-    """A page with a diagram of the transitions."""
+    """A page with a diagram of the transitions and their table: one row for each distinct one, so the page
+    grows with the states of a machine, not with the code."""
+    transitions = transitions.select("from_status", "to_status", "method_name").distinct()
     arrow = F.concat(F.lit("    "), F.col("from_status"), F.lit(" --> "), F.col("to_status"), F.lit(": "), F.col("method_name"))
     diagram = F.concat(F.lit("```mermaid\nstateDiagram-v2\n"), F.array_join(F.sort_array(F.collect_set(arrow)), "\n"), F.lit("\n```"))
-    return transitions.agg(F.concat(F.lit(f"# {name}\n\n"), diagram).alias("body"), F.count("*").alias("n"))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *(cell(F.col(c)) for c in ("from_status", "to_status", "method_name"))), F.lit(" |"))
+    listed = F.concat(F.lit("| from | to | method |\n|---|---|---|\n"), F.array_join(F.sort_array(F.collect_list(line)), "\n"), F.lit("\n"))
+    return transitions.agg(F.concat(F.lit(f"# {name}\n\n"), diagram, F.lit("\n\n"), listed).alias("body"), F.count("*").alias("n"))
 
 
 def flows(calls: DataFrame) -> DataFrame:

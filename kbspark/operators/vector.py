@@ -7,15 +7,19 @@ broken by similarity before rounding, then by identifier.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..functions.vectors import cosine, score
 
 TOP_K, THRESHOLD, CROSS_PROJECT_K = 5, 0.35, 10
-#: Queries that a batch search broadcasts at a time.
-QUERY_BLOCK = 512
+#: Queries that go to all tasks at a time.
+QUERY_BLOCK = 1 << 16
 
 
 def top_k(chunks: DataFrame, query: list[float], k: int = TOP_K, threshold: float | None = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -29,25 +33,90 @@ def top_k(chunks: DataFrame, query: list[float], k: int = TOP_K, threshold: floa
 
 
 def top_k_batch(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, threshold: float | None = THRESHOLD, by: list[str] | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """For each row (query_id, query) the k nearest rows (of each group ``by``), with their rank.
-
-    The queries are a stated set; they are broadcast in blocks of at most ``QUERY_BLOCK`` against all
-    rows, which stay where they are. Only the best k of each task and query are shuffled.
+    """For each row (query_id, query, and what else comes along) the k nearest rows (of each group
+    ``by``), with their rank.
+
+    The queries are a stated set; blocks of at most ``QUERY_BLOCK`` of them go to all tasks. A task reads
+    its rows once, compares them with the whole block by matrix products, and keeps the best k of each
+    query; only these are shuffled. The products only pick candidates: a candidate's similarity is
+    summed in the order of the components. Vectors that are null, zero, of another length or that
+    hold a null or non-finite component are no hits.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
     keys = ["query_id", *(by or [])]
     order = Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("similarity"), F.asc(id_col))
-    out = None
+    schema, out = StructType(list(chunks.schema.fields)).add(queries.schema["query_id"]).add("similarity", "double"), None
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     for b in range(blocks):
         some = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        met = chunks.join(F.broadcast(some), F.size(vector_col) == F.size("query"))
-        scored = met.withColumn("similarity", cosine(F.col("query"), F.col(vector_col))).filter("similarity is not null")
-        ranked = scored.withColumn("score", score(F.col("similarity"))).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        found = chunks.mapInArrow(_nearest(some.select("query_id", F.col("query").cast("array<double>")).toArrow(), k, by or [], id_col, vector_col), schema)
+        ranked = found.withColumn("score", score(F.col("similarity"))).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
         out = ranked if out is None else out.unionByName(ranked)
+    if len(queries.columns) > 2:
+        out = out.join(queries.drop("query"), "query_id")
     return out.filter(F.col("score") >= threshold) if threshold is not None else out
 
 
+def _nearest(asked: pa.Table, k: int, by: list[str], id_col: str, vector_col: str):
+    """What a task does for a block of queries."""
+    sizes = pc.list_value_length(asked["query"]).to_numpy(zero_copy_only=False)
+
+    def usable(rows) -> np.ndarray:
+        return np.flatnonzero(np.isfinite(rows).all(axis=1) & (rows != 0).any(axis=1))
+
+    def matrix(column: pa.Array, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.asarray(column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False), float).reshape(-1, size)
+        good = usable(rows)
+        return at[good], rows[good]
+
+    def run(batches):
+        import itertools
+
+        held, many = [], 0
+        queries = {}
+        for size in {int(s) for s in sizes[~np.isnan(sizes.astype(float))] if s}:
+            at, rows = matrix(asked["query"].combine_chunks(), np.flatnonzero(sizes == size), size)
+            queries[size] = at, rows, np.sqrt(np.cumsum(rows * rows, axis=1)[:, -1]), np.cumsum(rows * rows, axis=1)[:, -1]
+        most = max(1 << 16, 4 * k * len(asked))
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                length = pc.list_value_length(batch.column(vector_col)).to_numpy(zero_copy_only=False)
+                names = pa.Table.from_batches([batch]).select(by) if by else None
+                group = np.zeros(batch.num_rows, np.int64)
+                for c in by:
+                    code = pc.fill_null(names[c].combine_chunks().dictionary_encode(null_encoding="encode").indices, 0).to_numpy(zero_copy_only=False)
+                    group = np.unique(group * (int(code.max(initial=0)) + 1) + code, return_inverse=True)[1]
+                for size, (which, wanted, long, square) in queries.items():
+                    for at in (np.flatnonzero((length == size) & (group == g)) for g in np.unique(group)):
+                        at, rows = matrix(batch.column(vector_col), at, size)
+                        step = max(k, (1 << 22) // max(1, len(wanted)))
+                        for low in range(0, len(at), step):
+                            some, own = at[low : low + step], rows[low : low + step]
+                            norm = np.cumsum(own * own, axis=1)[:, -1]
+                            near = own @ wanted.T / (np.sqrt(norm)[:, None] * long[None, :])
+                            cut = np.partition(near, len(own) - k, axis=0)[len(own) - k] if len(own) > k else np.full(len(wanted), -2.0)
+                            i, q = np.nonzero(near >= cut - 1e-9)
+                            exact = np.cumsum(own[i] * wanted[q], axis=1)[:, -1] / np.sqrt(norm[i] * square[q]) if len(i) else np.zeros(0)
+                            picked = pa.Table.from_batches([batch.take(pa.array(some[i]))])
+                            picked = picked.append_column("query_id", asked["query_id"].take(pa.array(which[q]))).append_column("similarity", pa.array(exact, pa.float64()))
+                            held.append(picked)
+                            many += len(i)
+            if held and (batch is None or many > most):
+                rows = pa.concat_tables(held).sort_by([("query_id", "ascending"), *((c, "ascending") for c in by), ("similarity", "descending"), (id_col, "ascending")]).combine_chunks()
+                new = np.zeros(len(rows), bool)
+                new[:1] = True
+                for c in ("query_id", *by):
+                    code = rows[c].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                    new[1:] |= code[1:] != code[:-1]
+                first = np.flatnonzero(new)
+                place = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
+                held = [rows.take(pa.array(np.flatnonzero(place < k)))]
+                many, most = len(held[0]), max(most, 2 * len(held[0]))
+        for rows in held:
+            yield from rows.to_batches()
+
+    return run
+
+
 def merge_collections(hits: DataFrame, k: int = TOP_K, threshold: float = THRESHOLD, id_col: str = "vec_id") -> DataFrame:
     """Best k over collections of hits that each collection's search has found."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("similarity"), F.asc(id_col))

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..functions.vectors import cosine, score
@@ -394,8 +395,6 @@ def rule_candidates(spark, sf):
 
 @query("SELECT prev AS from_type, event_type AS to_type, count(*) AS n FROM (SELECT event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) WHERE prev IS NOT NULL GROUP BY ALL")
 def state_transitions(spark, sf):
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     rows = table(spark, sf, "events").select(F.lag("event_type").over(w).alias("from_type"), F.col("event_type").alias("to_type"))
     return rows.filter("from_type is not null").groupBy("from_type", "to_type").agg(F.count("*").alias("n"))
@@ -636,7 +635,8 @@ def _eval_rows(spark, sf) -> DataFrame:
     """query_id, expected (the five smallest identifiers with the query's label), actual (its hits)."""
     hits = vector.top_k_batch(table(spark, sf, "embeddings"), _asked(spark, sf), threshold=None)
     actual = hits.groupBy("query_id", "query_label").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x["vec_id"]).alias("actual"))
-    same = table(spark, sf, "embeddings").groupBy(F.col("label").alias("query_label")).agg(F.slice(F.sort_array(F.collect_list("vec_id")), 1, 5).alias("expected"))
+    first = table(spark, sf, "embeddings").withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).filter("place <= 5")
+    same = first.groupBy(F.col("label").alias("query_label")).agg(F.sort_array(F.collect_list("vec_id")).alias("expected"))
     return actual.join(same, "query_label")
 
 

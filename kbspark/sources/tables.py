@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,12 +23,28 @@ def register(spark: SparkSession, folder: str, names: list[str] = NAMES) -> None
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Computed once and kept in the reliable checkpoint folder, which all executors share: lineage is
+    """Written once to the checkpoint folder, which all executors share: lineage is
     cut, and a lost executor loses nothing."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="kbspark-"))
-    return df.checkpoint()
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context._jsc.sc().getCheckpointDir().isDefined():
+            if context.master != "local" and not context.master.startswith(("local[", "local-cluster")):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="kbspark-"))
+        folder = context._jsc.sc().getCheckpointDir().get()
+    path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_delete, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    except Exception:  # the session may have ended before the interpreter does
+        pass
 
 
 def jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:

@@ -13,12 +13,21 @@ from ..operators.incremental import changes, latest, publish, upsert
 
 def apply_batch(current: DataFrame, batch: DataFrame, folder: str) -> None:
     """Puts the last version of each path of a batch (path, version, hash, deleted, content) in place.
-    Versions that are not newer than the stored one change nothing, so a batch may come twice."""
+    Versions that are not newer than the stored one change nothing, so a batch may come twice. A
+    deletion is such a version: it stays as a row without content, so that an older version that
+    comes late does not bring the document back. ``living`` leaves these rows out."""
     fresh = latest(batch)
     known = current.select("path", F.col("version").alias("_known"))
     newer = fresh.join(known, "path", "left").filter(F.col("_known").isNull() | (F.col("version") > F.col("_known"))).drop("_known")
-    status = newer.select("path", F.when(F.col("deleted"), "deleted").otherwise("changed").alias("status"))
-    publish(upsert(current, newer.filter("not deleted"), status), folder)
+    status = newer.select("path", F.lit("changed").alias("status"))
+    if "content" in newer.columns:
+        newer = newer.withColumn("content", F.when(~F.col("deleted"), F.col("content")))
+    publish(upsert(current, newer, status), folder)
+
+
+def living(rows: DataFrame) -> DataFrame:
+    """The documents that are not deleted."""
+    return rows.filter(~F.coalesce("deleted", F.lit(False)))
 
 
 def maintain(stream: DataFrame, read: Callable[[], DataFrame], folder: str, checkpoint: str) -> StreamingQuery:

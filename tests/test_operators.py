@@ -1,6 +1,8 @@
 """Edge cases that the tables do not hold."""
 
+import math
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -179,7 +181,65 @@ def test_upsert_and_reindex(spark, tmp_path):
     folder = f"file://{tmp_path}/index"
     for df in (index, again):
         incremental.publish(df, folder)
-    assert spark.read.parquet(folder).count() == 1
+    assert incremental.published(spark, folder).count() == 1 and incremental.published(spark, folder + "2") is None
+
+
+def test_publish_survives_a_dying_writer(spark, tmp_path):
+    folder = f"file://{tmp_path}/t"
+    incremental.publish(spark.range(3), folder)
+    old = incremental.published(spark, folder)
+    spark.range(9).write.parquet(f"{folder}/v-unfinished")  # written, but never named
+    assert incremental.published(spark, folder).count() == 3
+    incremental.publish(spark.range(5), folder)
+    assert incremental.published(spark, folder).count() == 5 and old.count() == 3
+    assert len(list((tmp_path / "t").glob("v-*"))) == 2
+
+
+def test_deleted_documents_stay_deleted(spark, tmp_path):
+    folder = f"file://{tmp_path}/docs"
+    schema = "path string, version int, hash string, deleted boolean, content string"
+    incremental.publish(spark.createDataFrame([], schema), folder)
+    for batch in ([("a", 1, "x", False, "one"), ("b", 1, "x", False, "b")], [("a", 3, "x", True, "one")], [("a", 2, "x", False, "two")], [("b", 1, "x", False, "late")]):
+        upserts.apply_batch(incremental.published(spark, folder), spark.createDataFrame(batch, schema), folder)
+    assert [(r.path, r.content) for r in upserts.living(incremental.published(spark, folder)).collect()] == [("b", "b")]
+    incremental.publish(upserts.living(incremental.published(spark, folder)), folder)
+
+
+def test_endpoint_without_a_path_meets_on_both_sides(spark):
+    kind = "class_name string, http_method string, endpoint string, method_name string, return_type string, params string, comment string, line int"
+    one = spark.createDataFrame([("C", None, None, "m", "R", "", "", 4)], kind)
+    assert merge.endpoints(one, one).count() == 1
+
+
+def test_overlap_spans_take_time_in_proportion(spark):
+    took = []
+    for n in (4000, 16000):
+        df = spark.createDataFrame([("\n".join(["some words on a line of text"] * n),)], "t string")
+        df.select(chunk.overlap_spans(F.col("t")).alias("s")).collect()
+        began = time.time()
+        df.select(F.size(chunk.overlap_spans(F.col("t"))).alias("s")).collect()
+        took.append(time.time() - began)
+    assert took[1] < 10 * max(took[0], 0.3)
+
+
+def test_batch_search_against_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(300, 8)).round(1)
+    v[50:60] = v[7]
+    rows = [(i, x.tolist(), "g" if i % 3 else None) for i, x in enumerate(v)] + [(900, None, "g"), (901, [0.0] * 8, "g"), (902, [1.0], "g"), (903, [None] + [1.0] * 7, "g"), (904, [float("nan")] * 8, "g")]
+    chunks = spark.createDataFrame(rows, "vec_id long, embedding array<double>, kind string").repartition(5)
+    asked = spark.createDataFrame([(i, v[i].tolist(), "x") for i in range(0, 300, 7)] + [(1000, None, "x"), (1001, [0.0] * 8, "x")], "query_id long, query array<double>, more string")
+    for by in (None, ["kind"]):
+        got = {(r.query_id, r.kind if by else "", r["rank"]): r.vec_id for r in vector.top_k_batch(chunks, asked, 4, None, by).collect()}
+        want = {}
+        for i in range(0, 300, 7):
+            cos = [math.fsum(a * v[i]) / math.sqrt(math.fsum(a * a) * math.fsum(v[i] * v[i])) for a in v]
+            for kind in ("g", None) if by else ("",):
+                own = sorted((-math.floor(cos[j] * 100 + 0.5), -round(cos[j], 12), j) for j in range(300) if not by or rows[j][2] == kind)
+                want.update({(i, kind, k + 1): own[k][2] for k in range(4)})
+        assert got == want
 
 
 def test_guard_and_state(spark, tmp_path):
@@ -221,12 +281,12 @@ def test_files(spark, tmp_path):
 def test_stream_upserts(spark, tmp_path):
     schema = "path string, version long, hash string, deleted boolean, content string"
     folder, source = f"file://{tmp_path}/docs", f"{tmp_path}/in"
-    spark.createDataFrame([("a", 1, "h", False, "old"), ("b", 1, "h", False, "old")], schema).write.parquet(folder)
+    incremental.publish(spark.createDataFrame([("a", 1, "h", False, "old"), ("b", 1, "h", False, "old")], schema), folder)
     spark.createDataFrame([("a", 3, "h", False, "new"), ("a", 2, "h", False, "late"), ("b", 2, "h", True, None), ("c", 1, "h", False, "c"), ("c", 1, "h", False, "c")], schema).write.parquet(source)
     for run in range(2):  # the second run brings the same batch again
         stream = spark.readStream.schema(schema).parquet(source)
-        upserts.maintain(stream, lambda: spark.read.schema(schema).parquet(folder), folder, f"{tmp_path}/cp{run}").awaitTermination()
-        assert {(r.path, r.content) for r in spark.read.schema(schema).parquet(folder).collect()} == {("a", "new"), ("c", "c")}
+        upserts.maintain(stream, lambda: incremental.published(spark, folder), folder, f"{tmp_path}/cp{run}").awaitTermination()
+        assert {(r.path, r.content) for r in upserts.living(incremental.published(spark, folder)).collect()} == {("a", "new"), ("c", "c")}
 
 
 def test_frontend_records(spark):
