@@ -78,3 +78,23 @@ def summary(per_query: DataFrame) -> DataFrame:
 
 def regressions(per_query: DataFrame) -> DataFrame:
     return per_query.filter((F.col("hit_rate") < 1) | (F.col("graph_recall") < 1))
+
+
+#: Percent of a class's methods from which on the index has no gap.
+ENOUGH = 90
+
+
+def method_coverage(found: DataFrame) -> DataFrame:
+    """Adds coverage (percent, 100 at most) and gap (under 90 percent). found: columns expected and
+    covered."""
+    share = F.least(percent(F.col("covered"), F.col("expected")), F.lit(100.0))
+    return found.withColumn("coverage", share).withColumn("gap", share < ENOUGH)
+
+
+def undocumented(names: DataFrame, titles: DataFrame) -> DataFrame:
+    """module, name of names that no title of their module equals, or holds, or is part of. Equal ones go by
+    a hash join; only the rest is compared within its module. names: module, name; titles: module,
+    title."""
+    rest = names.join(titles.select("module", F.col("title").alias("name")).distinct(), ["module", "name"], "left_anti")
+    near = rest.join(titles, "module").filter(F.contains("title", F.col("name")) | F.contains("name", F.col("title"))).select("module", "name").distinct()
+    return rest.join(near, ["module", "name"], "left_anti")

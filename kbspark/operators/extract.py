@@ -333,3 +333,43 @@ def graph_stats(text: Column) -> Column:
         return F.regexp_replace(F.regexp_extract(text, rf"([\d,]+)\s+{kind}", 1), ",", "").try_cast("long")
 
     return F.struct(number("nodes").alias("nodes"), number("edges").alias("edges"))
+
+
+#: Route nodes as a graph service gives them.
+ROUTE_NODE = "struct<id:string,name:string,method:string,filePath:string,handlerSymbolId:string>"
+
+
+def route_nodes(rows: DataFrame, json_col: str = "json") -> DataFrame:
+    """All columns and id, route, http_method, file_path, handler of route nodes that came as JSON. What is
+    missing is empty, a missing verb is GET; text that is no JSON gives a node of defaults."""
+    node = F.from_json(json_col, ROUTE_NODE)
+    fields = {"id": ("id", ""), "route": ("name", ""), "http_method": ("method", "GET"), "file_path": ("filePath", ""), "handler": ("handlerSymbolId", "")}
+    return rows.withColumn("_node", node).withColumns({k: F.coalesce(F.col(f"_node.{f}"), F.lit(d)) for k, (f, d) in fields.items()}).drop("_node", json_col)
+
+
+def status_values(files: DataFrame, kind: str = "(Status|State)$") -> DataFrame:
+    """class_name, code_name, code, description, place of the values of enums whose name matches: the
+    states of a machine. Only what stands before the first private member is a value."""
+    rows = enum_values(files).filter(F.col("class_name").rlike(kind))
+    return rows.select("class_name", "code_name", "code", "description")
+
+
+def controller_methods(files: DataFrame) -> DataFrame:
+    """path, class_name, method_name, http_method, endpoint, comment, line, body: each mapped method with
+    its text. A method's mapping is the last one above its first line."""
+    bodies = method_bodies(files).select("path", "method_name", "line_start", "body")
+    near = endpoints(files).select("path", "class_name", "method_name", "http_method", "endpoint", "comment", "line")
+    met = near.join(bodies, ["path", "method_name"]).filter(F.col("line_start") >= F.col("line"))
+    rest = [c for c in met.columns if c not in ("path", "method_name", "line_start")]
+    best = met.groupBy("path", "method_name", "line_start").agg(F.max_by(F.struct(*rest), "line").alias("m"))
+    return best.select("path", "m.class_name", "method_name", "m.http_method", "m.endpoint", "m.comment", "m.line", "m.body")
+
+
+def candidates_by_class(candidates: DataFrame) -> DataFrame:
+    """class_name, n, most: rule candidates of each class, and the decision points of the fullest."""
+    return candidates.groupBy("class_name").agg(F.count("*").alias("n"), F.max("decision_points").alias("most"))
+
+
+def linkage_by_kind(rules: DataFrame) -> DataFrame:
+    """kind, n, components: linkage rules of each kind."""
+    return rules.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("component").alias("components"))

@@ -139,3 +139,55 @@ def inbound_contracts(calls: DataFrame) -> DataFrame:
 def topology(relations: DataFrame) -> DataFrame:
     """source, via, target, mode of project relations; a missing mode is direct."""
     return relations.select(F.coalesce("app", "frontend").alias("source"), F.col("gateway").alias("via"), F.col("backend").alias("target"), F.coalesce("mode", F.lit("direct")).alias("mode"))
+
+
+def build(methods: DataFrame, injected: DataFrame, calls: DataFrame, implements: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes (uid, name, kind, path, line) and edges (src, dst, edge_type) out of extracted records: classes
+    and their methods; has_method, implements, injects and calls. methods: path, class_name,
+    method_name, line_start; injected: class_name, type; calls: class_name, method_name, service,
+    callee; implements: class_name, interface."""
+    method = F.concat_ws(".", "class_name", "method_name")
+    classes = methods.groupBy("class_name").agg(F.min("path").alias("path")).select(F.col("class_name").alias("uid"), F.col("class_name").alias("name"), F.lit("class").alias("kind"), "path", F.lit(1).alias("line"))
+    own = methods.groupBy(method.alias("uid"), F.col("method_name").alias("name")).agg(F.min_by("path", "line_start").alias("path"), F.min("line_start").alias("line"))
+    nodes = classes.unionByName(own.select("uid", "name", F.lit("method").alias("kind"), "path", "line"))
+    parts = [
+        methods.select(F.col("class_name").alias("src"), method.alias("dst"), F.lit("has_method").alias("edge_type")),
+        implements.select(F.col("class_name").alias("src"), F.col("interface").alias("dst"), F.lit("implements").alias("edge_type")),
+        injected.select(F.col("class_name").alias("src"), F.col("type").alias("dst"), F.lit("injects").alias("edge_type")),
+        calls.select(method.alias("src"), F.concat_ws(".", "service", "callee").alias("dst"), F.lit("calls").alias("edge_type")),
+    ]
+    edges = parts[0]
+    for more in parts[1:]:
+        edges = edges.unionByName(more)
+    return nodes, edges.distinct()
+
+
+def clusters(edges: DataFrame) -> DataFrame:
+    """symbol, cluster: the smallest symbol that edges reach, whatever their direction. Labels are passed
+    on and then shortened to the label's own label, so rounds grow with the logarithm of a path."""
+    both = edges.select("src", "dst").union(edges.select("dst", "src")).filter("src != dst").distinct()
+    steps = settled(both)
+    label = settled(steps.groupBy(F.col("src").alias("symbol")).agg(F.least(F.min("src"), F.min("dst")).alias("cluster")))
+    while True:
+        near = steps.join(label.select(F.col("symbol").alias("dst"), F.col("cluster").alias("c")), "dst").groupBy(F.col("src").alias("symbol")).agg(F.min("c").alias("c"))
+        passed = label.join(near, "symbol").select("symbol", F.least("cluster", "c").alias("cluster"))
+        above = passed.select(F.col("symbol").alias("cluster"), F.col("cluster").alias("up"))
+        now = settled(passed.join(above, "cluster", "left").select("symbol", F.least("cluster", F.coalesce("up", "cluster")).alias("cluster")))
+        moved = now.join(label.withColumnRenamed("cluster", "old"), "symbol").filter("cluster != old")
+        if moved.isEmpty():
+            return now
+        label = now
+
+
+def candidates(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """name, uid, kind, path, ambiguous: the nodes that a name may mean; a name of several is ambiguous and
+    the caller has to choose."""
+    met = names.select("name").distinct().join(nodes.select("name", "uid", "kind", "path"), "name")
+    return met.withColumn("ambiguous", F.count("*").over(Window.partitionBy("name")) > 1)
+
+
+def affected_flows(reached: DataFrame, steps: DataFrame) -> DataFrame:
+    """flow, hit, first: flows with a step that an impact reaches, how many steps, and the first of them.
+    steps: flow, place, symbol."""
+    met = steps.join(reached.select("symbol").distinct(), "symbol", "left_semi")
+    return met.groupBy("flow").agg(F.count("*").alias("hit"), F.min("place").alias("first"))

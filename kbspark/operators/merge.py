@@ -77,3 +77,43 @@ def field_consistency(request: DataFrame, model: DataFrame) -> DataFrame:
     whole = request.join(model, ["owner", "field"], "full")
     verdict = F.when(F.col("required").isNull(), "model only").when(F.col("nullable").isNull(), "request only").when(F.col("nullable") & F.col("required"), "stricter request").when(~F.col("nullable") & ~F.col("required"), "looser request").otherwise("same")
     return whole.select("owner", "field", verdict.alias("verdict"))
+
+
+def app_relations(apps: DataFrame, relations: DataFrame) -> DataFrame:
+    """name and the fields of the first relation (by place) whose app or frontend the name is; names
+    without one keep nulls. Each side of the or is a join of its own on equality. relations: place,
+    app, frontend, backend."""
+    fields = [c for c in relations.columns]
+    sides = [apps.join(relations, F.col("name") == F.col(c)).select("name", F.struct(*fields).alias("r")) for c in ("app", "frontend")]
+    first = sides[0].unionByName(sides[1]).groupBy("name").agg(F.min_by("r", "r.place").alias("r"))
+    return apps.join(first, "name", "left").select("name", *(F.col(f"r.{c}").alias(c) for c in fields))
+
+
+def module_sources(modules: DataFrame) -> DataFrame:
+    """module, repo, source: one row for each source of each repository of each module. modules: module,
+    repos (array of struct of repo and an array sources); empty and null lists give no row."""
+    repos = modules.select("module", F.explode("repos").alias("r"))
+    return repos.select("module", F.col("r.repo").alias("repo"), F.explode("r.sources").alias("source"))
+
+
+def sources_of(paths: DataFrame, modules: DataFrame) -> DataFrame:
+    """path, module, repo of paths that are a source: an equality on the source."""
+    return paths.join(module_sources(modules), F.col("path") == F.col("source")).select("path", "module", "repo")
+
+
+def ranked(rows: DataFrame, order: list, keys: list[str] | None = None) -> DataFrame:
+    """All columns and place (from 1) in a stated order, of each group if keys are given. Without keys the
+    rows meet in one sorted sequence: places are counted by range partition, not in one task."""
+    if keys:
+        return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    from ..sources.tables import settled
+
+    sorted_rows = settled(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}))
+    sizes = sorted_rows.groupBy("_part").agg(F.count("*").alias("n"), F.min("_row").alias("low"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each partition
+    return sorted_rows.join(F.broadcast(before), "_part").withColumn("place", (F.col("before") + F.col("_row") - F.col("low") + 1).cast("long")).drop("_part", "_row", "n", "low", "before")
+
+
+def page(rows: DataFrame, order: list, skip: int, limit: int) -> DataFrame:
+    """One page of rows in a stated order: so many after so many."""
+    return rows.orderBy(*order).offset(skip).limit(limit)

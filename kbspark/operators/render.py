@@ -90,3 +90,81 @@ def prompts(bodies: DataFrame, services: DataFrame, enums: DataFrame, errors: Da
     told = services.groupBy("entry").agg(F.array_join(F.sort_array(F.collect_list("text")), "\n").alias("s"))
     rows = bodies.join(told, "entry", "left").join(F.broadcast(enums.limit(1).select(F.col("text").alias("e")))).join(F.broadcast(errors.limit(1).select(F.col("text").alias("x"))))
     return rows.select("entry", F.concat_ws("\n\n", "body", F.substring("s", 1, 3000), F.substring("e", 1, 1000), F.substring("x", 1, 1500)).alias("prompt"))
+
+
+def rules(found: DataFrame) -> DataFrame:
+    """class_name, body: the rule candidates of a class, those with most decision points first."""
+    rows = table_body(found.withColumn("_most", -F.col("decision_points")), ["class_name"], {"method": "method_name", "decisions": "decision_points"}, ["_most", "method_name"])
+    return rows.select("class_name", page(F.col("class_name"), [F.col("body")]).alias("body"))
+
+
+def verify_report(checks: DataFrame, missing: DataFrame) -> DataFrame:
+    """check, body: what was expected and covered, and the names that are missing, in order. checks: check,
+    expected, covered, coverage; missing: check, name."""
+    names = missing.groupBy("check").agg(F.array_join(F.transform(F.sort_array(F.collect_list("name")), lambda x: F.concat(F.lit("- "), x)), "\n").alias("gone"))
+    told = F.concat(F.lit("covered "), F.col("covered"), F.lit(" of "), F.col("expected"), F.lit(" ("), F.col("coverage").cast("int"), F.lit(" %)"))
+    return checks.join(names, "check", "left").select("check", page(F.col("check"), [told, F.col("gone")]).alias("body"))
+
+
+def listing(rows: DataFrame, key: str, columns: dict[str, str], order: list[str]) -> DataFrame:
+    """key, body: a page with a table for each key."""
+    return table_body(rows, [key], columns, order).select(key, page(F.col(key), [F.col("body")]).alias("body"))
+
+
+def routes(found: DataFrame) -> DataFrame:
+    """module, body: the routes of a front end. found: module, route, path."""
+    return listing(found, "module", {"route": "route", "file": "path"}, ["route", "path"])
+
+
+def api_calls(found: DataFrame) -> DataFrame:
+    """module, body: the addresses that a front end calls. found: module, url, path."""
+    return listing(found, "module", {"address": "url", "file": "path"}, ["url", "path"])
+
+
+def pages(found: DataFrame) -> DataFrame:
+    """module, body: page folders and their files. found: module, page, file_count."""
+    return listing(found, "module", {"page": "page", "files": "file_count"}, ["page"])
+
+
+def stores(found: DataFrame) -> DataFrame:
+    """module, body. found: module, store, path."""
+    return listing(found, "module", {"store": "store", "file": "path"}, ["store", "path"])
+
+
+def topology(edges: DataFrame) -> DataFrame:
+    """source, body: where a front end's calls go. edges: source, via, target, mode."""
+    return listing(edges, "source", {"target": "target", "mode": "mode", "via": "via"}, ["target", "mode", "via"])
+
+
+def backend_map(matches: DataFrame) -> DataFrame:
+    """http_method, body: which flow serves a front end's function. matches: http_method,
+    function_name, flow_path, matched."""
+    return listing(matches, "http_method", {"function": "function_name", "flow": "flow_path", "words": "matched"}, ["function_name", "flow_path"])
+
+
+def summary(kind: str, name: Column, n: Column) -> Column:
+    """The line of a document's head that says what it holds."""
+    return F.format_string(f"{kind} %s: %d", name, n)
+
+
+def entry_document(docs: DataFrame, main: DataFrame) -> DataFrame:
+    """module, body: the documents of each layer, counted, and the main flow of a module. docs: module,
+    kb_layer; main: module, name."""
+    counted = listing(index(docs), "module", {"layer": "kb_layer", "documents": "n"}, ["kb_layer"])
+    flow = F.when(F.col("name").isNotNull(), F.concat(F.lit("main flow: "), F.col("name")))
+    return counted.join(main.select("module", "name"), "module", "left").select("module", F.concat_ws("\n", "body", flow).alias("body"))
+
+
+def global_index(docs: DataFrame) -> DataFrame:
+    """module, entry: a line of the global index for each module."""
+    return docs.groupBy("module").agg(F.count("*").alias("n"), F.countDistinct("kb_layer").alias("layers")).select("module", F.format_string("- [%s](%s/index.md): %d documents in %d layers", "module", "module", "n", "layers").alias("entry"))
+
+
+def as_json(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """json: one object a row, fields in the order given."""
+    return rows.select(F.to_json(F.struct(*columns)).alias("json"))
+
+
+def append_log(lines: DataFrame, folder: str) -> None:
+    """Adds lines (columns at, text) to a log that is a folder of text files."""
+    lines.select(F.concat_ws(" ", F.col("at").cast("string"), "text")).write.mode("append").text(folder)

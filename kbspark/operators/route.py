@@ -109,3 +109,10 @@ def is_level2_candidate(text: Column) -> Column:
     """At least two services or a status change, and not yet described at the second level."""
     services = F.coalesce(F.nullif(F.regexp_extract(text, r"调用服务数[：:]\s*\**\s*(\d+)", 1), F.lit("")).cast("int"), F.lit(0))
     return ((services >= 2) | text.rlike(r"触发状态变更[：:]\s*\**\s*是")) & ~F.contains(text, F.lit(BRANCH_FLOW_HEADING))
+
+
+def triggers_flow(calls: DataFrame) -> DataFrame:
+    """entry, services, changes_status of entry methods worth a flow: they call at least two services or
+    change a status. calls: entry, service, changes_status."""
+    sums = calls.groupBy("entry").agg(F.countDistinct("service").alias("services"), F.coalesce(F.bool_or("changes_status"), F.lit(False)).alias("changes_status"))
+    return sums.filter((F.col("services") >= 2) | F.col("changes_status"))

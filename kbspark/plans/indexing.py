@@ -35,3 +35,11 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, symbols: DataFrame, edg
     """query_id, hits, graph_context for each query (query_id, query)."""
     found = vector.top_k_batch(chunks, queries, k, id_col="file_path", vector_col="vector").select("query_id", "rank", "file_path", "heading", "score")
     return hybrid.merged(found, hybrid.expand(found, symbols, edges))
+
+
+def code_and_business(code: DataFrame, business: DataFrame, embed: Callable[[Column], Column] = vector.hashed_embedding) -> DataFrame:
+    """One table of the chunks of both kinds of sources, told apart by ``collection``: source files cut at
+    their headers, and documents of the business. code and business: path, content."""
+    sides = [chunk.file_chunks(rows).withColumn("collection", F.lit(name)) for name, rows in (("code", code), ("business", business))]
+    rows = sides[0].unionByName(sides[1])
+    return rows.select("collection", "path", "source_type", "class_name", "method_name", "line_start", "line_end", F.substring("text", 1, chunk.STORE_CODE_CHARS).alias("text"), embed(F.substring("text", 1, chunk.EMBED_CHARS)).alias("vector"))

@@ -52,6 +52,22 @@ def jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame
     return spark.read.format("jdbc").option("url", url).option("query", query).options(**options).load()
 
 
+def ddl(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
+    """table_name, ddl: what a MySQL database says created a table."""
+    if not name.replace("_", "").isalnum():
+        raise ValueError("the name of a table has letters, digits and underscores")
+    info = spark._jvm.java.util.Properties()
+    for key, value in options.items():
+        info.setProperty(key, value)
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url, info)  # one row, so no job
+    try:
+        found = connection.createStatement().executeQuery(f"SHOW CREATE TABLE `{name}`")
+        rows = [(found.getString(1), found.getString(2))] if found.next() else []
+    finally:
+        connection.close()
+    return spark.createDataFrame(rows, "table_name string, ddl string")
+
+
 def markdown_table(spark: SparkSession, text: str) -> DataFrame:
     """Rows of a small markdown table that a graph service returned, as strings."""
     cells = [[c.strip() for c in line.strip().strip("|").split("|")] for line in text.splitlines() if line.strip().startswith("|")]
