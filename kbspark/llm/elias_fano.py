@@ -13,21 +13,26 @@ import struct
 
 import numpy as np
 
-_POP = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 _PLACE = np.zeros((256, 8), np.uint8)  # place of the r-th set bit of a byte
 for _b in range(256):
     for _r, _p in enumerate([p for p in range(8) if _b >> p & 1]):
         _PLACE[_b, _r] = _p
+_PLACE = _PLACE.ravel()
+_PAIRS, _FOURS, _EIGHTS = (np.uint64(x) for x in (0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F))
+_ONES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
 
 
 def _select_in_word(words: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Place of the r-th set bit of each 64-bit word."""
-    bytes_ = np.ascontiguousarray(words, "<u8").view(np.uint8).reshape(-1, 8)
-    upto = np.cumsum(_POP[bytes_], axis=1, dtype=np.int64)
-    at = (upto <= r[:, None]).sum(axis=1)
-    rows = np.arange(len(at))
-    before = np.where(at > 0, upto[rows, at - 1], 0)
-    return 8 * at + _PLACE[bytes_[rows, at], r - before]
+    """Place of the r-th set bit of each 64-bit word, all bytes of a word counted at once."""
+    one, two, three, four, seven, eight = (np.uint64(x) for x in (1, 2, 3, 4, 7, 8))
+    words, r = np.asarray(words, np.uint64), r.astype(np.uint64)
+    upto = words - (words >> one & _PAIRS)
+    upto = (upto & _FOURS) + (upto >> two & _FOURS)
+    upto = (upto + (upto >> four) & _EIGHTS) * _ONES  # in each byte: the ones up to its end
+    full = ((r * _ONES | _TOPS) - upto & _TOPS) >> seven  # 1 in each byte whose ones end at r or before
+    at = (full * _ONES >> np.uint64(56)) << three
+    before = (upto << eight) >> at & np.uint64(255)
+    return (at + _PLACE[((words >> at & np.uint64(255)) << three) + r - before]).astype(np.int64)
 
 
 class EliasFano:

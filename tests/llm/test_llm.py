@@ -438,14 +438,18 @@ def test_language_model(spark, docs, small):
         got = ngram_lm.score(df, ngram_lm.learn(df, train)).collect()
         split = lambda t: [*(t or "").encode().lower().split(), b"\n"]
         texts = [(r.doc_id, split(r.text)) for r in df.select("doc_id", "text").collect()]
-        one, two = Counter(), Counter()
+        one, two, three = Counter(), Counter(), Counter()
         for i, x in texts:
             if i is not None and zlib.crc32(str(i).encode()) % 7 != 2:
                 one.update(x)
                 two.update(zip([b"\n", *x], x, strict=False))
-        n, v, k = sum(one.values()), len(one), ngram_lm.STRENGTH
+                three.update(zip([b"\n", *x], x, x[1:], strict=False))
+        n, v, k, l = sum(one.values()), len(one), ngram_lm.STRENGTH, ngram_lm.STRENGTH_3  # noqa: E741
         single = lambda w: (one[w] + 1) / (n + v + 1)
-        want = sorted((len(x), sum(one[w] > 0 for w in x), n, sum(math.log10(single(w)) for w in x), sum(math.log10((two[c, w] + k * single(w)) / (one[c] + k)) for c, w in zip([b"\n", *x], x, strict=False))) for _, x in texts)
+        pair = lambda c, w: (two[c, w] + k * single(w)) / (one[c] + k)
+        triple = lambda b, c, w: (three[b, c, w] + l * pair(c, w)) / (two[b, c] + l)
+        whole = lambda x: math.log10(pair(b"\n", x[0])) + sum(math.log10(triple(*g)) for g in zip([b"\n", *x], x, x[1:], strict=False))
+        want = sorted((len(x), sum(one[w] > 0 for w in x), n, sum(math.log10(single(w)) for w in x), whole(x)) for _, x in texts)
         have = sorted((r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got)
         assert len(have) == len(want)
         for a, b in zip(have, want, strict=True):
@@ -454,8 +458,8 @@ def test_language_model(spark, docs, small):
     # However few shards are open at a time, the scores are the same.
     model = ngram_lm.learn(small, F.lit(True))
     one, many = ngram_lm.Reader(model, 1), ngram_lm.Reader(model, 1000)
-    some = [t.encode() for t in EDGE[1:8]]
-    assert one.score(some) == many.score(some) and len(one.words.open) == len(one.tries.open) == 1 < len(many.words.open)
+    some = pa.array([t.encode() for t in EDGE[1:8]])
+    assert [x.tolist() for x in one.score(some)] == [x.tolist() for x in many.score(some)] and len(one.words.open) == len(one.tries.open) == 1 < len(many.words.open)
     nothing = ngram_lm.score(docs, ngram_lm.learn(docs, F.lit(False))).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0 for r in nothing)
 
