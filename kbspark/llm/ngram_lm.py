@@ -56,7 +56,8 @@ FLUSH = 4 << 20
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Of binary texts: tokens of each, the end counted; the tokens of all texts as places in a list;
     that list of distinct tokens. Tokens are words between ASCII white space, A-Z lower-cased, then the end."""
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string()).cast(pa.large_string())))
+    # Lower-cased first: of a large string array that was cast from a slice, ascii_lower reads the wrong bytes.
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())).cast(pa.large_string()))
     flat = parts.flatten().dictionary_encode()
     words, places = _bytes(flat.dictionary), flat.indices.to_numpy()
     row = np.repeat(np.arange(len(texts)), pc.list_value_length(parts).to_numpy())

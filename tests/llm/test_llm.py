@@ -432,6 +432,14 @@ def test_elias_fano():
         assert arrays["y"].tolist() == list(range(5)) and meta == {"k": 1}
 
 
+def test_tokens_of_slices():
+    texts = pa.array([(t or "").encode() for t in EDGE] + [b"A\x0bb\x0cC\x1cd \xc3\x89\xff", b"", b" x"])
+    for part in (texts, texts.slice(4), texts.slice(2, 3), texts.slice(9, 0), texts.slice(len(texts) - 2)):
+        sizes, at, words = ngram_lm.tokens(part)
+        want = [t.lower().split() + [b"\n"] for t in part.to_pylist()]
+        assert [words[k] for k in at.tolist()] == list(itertools.chain.from_iterable(want)) and sizes.tolist() == list(map(len, want))
+
+
 def test_language_model(spark, docs, small):
     for df in (docs, small):
         train = F.coalesce(fold(F.col("doc_id"), 7) != 2, F.lit(False))
