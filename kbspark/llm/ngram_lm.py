@@ -59,7 +59,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     # Lower-cased first: of a large string array that was cast from a slice, ascii_lower reads the wrong bytes.
     parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())).cast(pa.large_string()))
     flat = parts.flatten().dictionary_encode()
-    words, places = _bytes(flat.dictionary), flat.indices.to_numpy()
+    words, places = byte_list(flat.dictionary), flat.indices.to_numpy()
     row = np.repeat(np.arange(len(texts)), pc.list_value_length(parts).to_numpy())
     if b"" in words:  # before leading and after trailing white space
         real = places != words.index(b"")
@@ -72,7 +72,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return sizes, out, [*words, END]
 
 
-def _bytes(words: pa.Array) -> list[bytes]:
+def byte_list(words: pa.Array) -> list[bytes]:
     """The values of a large string array, without a Python step for each in the Arrow library."""
     _, offsets, data = words.buffers()
     at = np.frombuffer(offsets, np.int64, len(words) + 1, 8 * words.offset).tolist()

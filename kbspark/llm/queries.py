@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, language_id, ngram_lm, packing, pu_quality, quality_rules, simhash, sstable, token_rollup, trie_bpe
+from . import cover_tree, divergence, importance, language_id, ngram_lm, packing, pu_quality, quality_rules, simhash, sstable, token_rollup, toxicity, trie_bpe
 from .common import fold, held_out, table
 
 
@@ -80,6 +80,21 @@ def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.neighbours(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op11_heavy_light(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_overlap_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_zstd_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = toxicity.learn(docs, labels, fold(F.col("doc_id"), 5) != 0)
+    scored = toxicity.score(docs, found)
+    return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nnpu": op1_nnpu,
     "op2_sstable": op2_sstable,
@@ -91,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_elias_fano_lm": op8_elias_fano_lm,
     "op9_token_rollup": op9_token_rollup,
     "op10_cover_tree": op10_cover_tree,
+    "op11_heavy_light": op11_heavy_light,
+    "op12_overlap_chunks": op12_overlap_chunks,
+    "op13_zstd_distance": op13_zstd_distance,
     "token_rollup_files": token_rollup_files,
 }
 
@@ -98,4 +116,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_risk_rules": quality_rules.oracle(),
     "op9_token_rollup": token_rollup.ORACLE,
     "op10_cover_tree": cover_tree.ORACLE,
+    "op11_heavy_light": divergence.ORACLE,
+    "op12_overlap_chunks": importance.ORACLE,
 }
