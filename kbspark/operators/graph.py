@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.tables import settled
+from .components import shortest_cycles
 
 METHOD_CAP = 8
 FAN_OUT = 5
@@ -86,10 +87,20 @@ def search(nodes: DataFrame, text: str) -> DataFrame:
     return nodes.filter(F.contains(F.lower("name"), F.lit(text.lower())))
 
 
-def changed_symbols(changes: DataFrame, methods: DataFrame) -> DataFrame:
-    """Methods on whose lines a change falls: path is an equality, so the range needs no nested loop.
-    changes: path, line; methods: path, symbol, line_start, line_end."""
-    met = changes.join(methods, "path").filter("line between line_start and line_end")
+#: Lines of a bin of the join of lines with ranges of lines.
+BIN = 64
+
+
+def changed_symbols(changes: DataFrame, methods: DataFrame, width: int = BIN) -> DataFrame:
+    """Methods on whose lines a change falls: path, symbol, changed_lines.
+
+    Both sides are dealt by path and by bins of ``width`` lines, a method into every bin that it touches; a
+    line is in one bin, so no pair meets twice, and a line is compared only with methods near it, however
+    long the file is. changes: path, line; methods: path, symbol, line_start, line_end. Null paths and lines meet nothing.
+    """
+    bins = F.explode(F.sequence(F.floor(F.col("line_start") / width), F.floor(F.greatest("line_start", "line_end") / width)))
+    spans = methods.select("path", "symbol", "line_start", "line_end").filter("line_start is not null and line_end is not null").withColumn("_bin", bins)
+    met = changes.select("path", "line").withColumn("_bin", F.floor(F.col("line") / width)).join(spans, ["path", "_bin"]).filter("line between line_start and line_end")
     return met.groupBy("path", "symbol").agg(F.count("*").alias("changed_lines"))
 
 
@@ -119,16 +130,7 @@ def call_graph(calls: DataFrame, implemented: DataFrame) -> DataFrame:
 def module_cycles(edges: DataFrame, depth: int | None = None) -> DataFrame:
     """Modules that reach themselves over other modules: module, length of the shortest way back; of
     at most ``depth`` steps if that is given."""
-    steps = settled(edges.select("src", "dst").filter("src != dst").distinct())
-    reach = steps.select(F.col("src").alias("module"), F.col("dst").alias("at"), F.lit(1).alias("length"))
-    seen = reach
-    for n in count(2) if depth is None else range(2, depth + 1):
-        found = reach.join(steps, F.col("at") == F.col("src")).select("module", F.col("dst").alias("at")).distinct()
-        reach = settled(found.join(seen, ["module", "at"], "left_anti").withColumn("length", F.lit(n)))
-        if reach.isEmpty():
-            break
-        seen = settled(seen.unionByName(reach))
-    return seen.filter("module = at").groupBy("module").agg(F.min("length").alias("length"))
+    return shortest_cycles(edges, depth)
 
 
 def inbound_contracts(calls: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.store import Store
+
 FRESH_HOURS = 12
 
 
@@ -148,29 +150,23 @@ def tally(results: DataFrame) -> DataFrame:
 
 
 class State:
-    """Scan state: one small table of modules, replaced as a whole at each write."""
+    """Scan state: a row for each module. A change starts again on what another driver has written meanwhile,
+    so of two drivers none loses."""
 
     VERSION = 2
     SCHEMA = "version int, module string, kb_path string, sources array<string>, last_scan timestamp, last_freshness_check timestamp"
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.store = spark, Store(spark, folder, self.SCHEMA, key="module", buckets=1)
 
     def read(self) -> DataFrame:
-        rows = published(self.spark, self.folder, self.SCHEMA)
-        return self.spark.createDataFrame([], self.SCHEMA) if rows is None else rows
+        return self.store.read()
 
     def is_old(self) -> bool:
         return not self.read().filter(F.coalesce("version", F.lit(1)) < self.VERSION).isEmpty()
 
     def add_module(self, module: str, kb_path: str, sources: list[str] = (), last_scan=None) -> None:
-        fresh = self.spark.createDataFrame([(self.VERSION, module, kb_path, list(sources), last_scan, None)], self.SCHEMA)
-        publish(self.read().filter(F.col("module") != module).unionByName(fresh), self.folder)
+        self.store.upsert(self.spark.createDataFrame([(self.VERSION, module, kb_path, list(sources), last_scan, None)], self.SCHEMA))
 
     def checked(self, now) -> None:
-        publish(self.read().withColumn("last_freshness_check", F.lit(now).cast("timestamp")), self.folder)
-
-
-def late_order() -> Window:
-    """The order in which versions of one document that arrive together count."""
-    return Window.partitionBy("path").orderBy(F.desc("version"))
+        self.store.rewrite(lambda rows: rows.withColumn("last_freshness_check", F.lit(now).cast("timestamp")))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import chunk, evaluate, extract, graph, hybrid, incremental, merge, render, route, vector
+from ..operators import chunk, evaluate, extract, flows, graph, hybrid, incremental, merge, render, route, vector
 from ..sources import frontmatter
 from ..sources.tables import table
 from . import indexing, update
@@ -147,12 +147,32 @@ def graph_candidates(spark, sf):
     return graph.candidates(nodes, nation.filter("n_regionkey = 1").select(F.col("n_name").alias("name")))
 
 
-@query(f"""WITH e AS ({_EDGES}), r AS (SELECT 'n3' AS symbol UNION SELECT src FROM e WHERE dst = 'n3')
-SELECT o_orderpriority AS flow, count(*) AS hit, min(o_orderkey) AS first FROM orders WHERE 'c' || o_custkey IN (SELECT symbol FROM r) GROUP BY o_orderpriority""")
+def _call_edges(spark, sf) -> DataFrame:
+    """Orders call customers and suppliers, these nations, these regions: two ways from an order to a region."""
+    lines = table(spark, sf, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"))
+    suppliers = table(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("src"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("dst"))
+    return _fk_edges(spark, sf).select("src", "dst").unionByName(lines).unionByName(suppliers)
+
+
+_CALLS = f"SELECT src, dst FROM ({_EDGES}) UNION SELECT 'o' || l_orderkey, 's' || l_suppkey FROM lineitem UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier"
+_FLOWS = f"""e AS MATERIALIZED ({_CALLS}), w AS (
+SELECT src AS entry, src AS node, [src] AS path FROM (SELECT DISTINCT src FROM e WHERE src NOT IN (SELECT dst FROM e))
+UNION ALL SELECT entry, node, path FROM (SELECT w.entry, e.dst AS node, list_append(w.path, e.dst) AS path, row_number() OVER (PARTITION BY w.entry, e.dst ORDER BY list_append(w.path, e.dst)) AS k FROM w JOIN e ON e.src = w.node) WHERE k = 1),
+f AS (SELECT entry, node AS last, arg_max(path, len(path)) AS path FROM w WHERE node NOT IN (SELECT src FROM e) AND len(path) > 1 GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {_FLOWS} SELECT entry || ' > ' || last AS flow, array_to_string(path, ' > ') AS path, len(path)::INTEGER AS steps FROM f")
+def graph_flows(spark, sf):
+    return flows.flows(_call_edges(spark, sf)).select("flow", F.array_join("path", " > ").alias("path"), F.size("path").alias("steps"))
+
+
+@query(f"""WITH RECURSIVE {_FLOWS}, r AS (SELECT 'n3' AS symbol UNION SELECT src FROM e WHERE dst = 'n3'),
+s AS (SELECT entry || ' > ' || last AS flow, unnest(path) AS symbol, unnest(range(len(path)))::INTEGER AS place FROM f)
+SELECT flow, count(*) AS hit, min(place)::INTEGER AS first FROM s WHERE symbol IN (SELECT symbol FROM r) GROUP BY flow""")
 def graph_affected_flows(spark, sf):
-    reached = graph.impact(_fk_edges(spark, sf), spark.createDataFrame([("n3",)], "symbol string"), 1)
-    steps = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("flow"), F.col("o_orderkey").alias("place"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("symbol"))
-    return graph.affected_flows(reached, steps)
+    calls = _call_edges(spark, sf)
+    reached = graph.impact(calls, spark.createDataFrame([("n3",)], "symbol string"), 1)
+    return graph.affected_flows(reached, flows.flow_steps(flows.flows(calls)))
 
 
 @query("SELECT 'c' || c_custkey AS symbol, 'out' AS direction, 'lives' AS edge_type, 'n' || c_nationkey AS uid FROM customer WHERE c_acctbal > 0")

@@ -22,10 +22,8 @@ def register(spark: SparkSession, folder: str, names: list[str] = NAMES) -> None
         table(spark, folder, name).createOrReplaceTempView(name)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Written once to the checkpoint folder, which all executors share: lineage is
-    cut, and a lost executor loses nothing."""
-    spark, context = df.sparkSession, df.sparkSession.sparkContext
+def _shared(spark: SparkSession) -> str:
+    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not context._jsc.sc().getCheckpointDir().isDefined():
@@ -33,10 +31,31 @@ def settled(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="kbspark-"))
         folder = context._jsc.sc().getCheckpointDir().get()
-    path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return folder.rstrip("/")
+
+
+def working_folder(spark: SparkSession) -> str:
+    """A folder of its own in the one that driver and executors share, deleted when the driver ends."""
+    path = f"{_shared(spark)}/settled-{uuid.uuid4().hex}"
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Written once to the checkpoint folder, which all executors share: lineage is
+    cut, and a lost executor loses nothing."""
+    path = working_folder(df.sparkSession)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_path = path
+    return out
+
+
+def unsettle(*frames: DataFrame) -> None:
+    """Deletes what ``settled`` wrote, once nothing reads it any more; a loop calls it so that a long
+    session does not fill the disk."""
+    for df in frames:
+        _delete(df.sparkSession, df.settled_path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from kbspark.functions import text as tx
 from kbspark.operators import chunk, evaluate, extract, graph, hybrid, incremental, merge, render, route, vector
 from kbspark.plans import indexing
-from kbspark.sources import files, frontmatter, tables
+from kbspark.sources import files, frontmatter, store, tables
 from kbspark.streaming import upserts
 
 
@@ -196,13 +196,13 @@ def test_publish_survives_a_dying_writer(spark, tmp_path):
 
 
 def test_deleted_documents_stay_deleted(spark, tmp_path):
-    folder = f"file://{tmp_path}/docs"
     schema = "path string, version int, hash string, deleted boolean, content string"
-    incremental.publish(spark.createDataFrame([], schema), folder)
+    docs = store.Store(spark, f"file://{tmp_path}/docs", schema, version="version", buckets=2)
     for batch in ([("a", 1, "x", False, "one"), ("b", 1, "x", False, "b")], [("a", 3, "x", True, "one")], [("a", 2, "x", False, "two")], [("b", 1, "x", False, "late")]):
-        upserts.apply_batch(incremental.published(spark, folder), spark.createDataFrame(batch, schema), folder)
-    assert [(r.path, r.content) for r in upserts.living(incremental.published(spark, folder)).collect()] == [("b", "b")]
-    incremental.publish(upserts.living(incremental.published(spark, folder)), folder)
+        upserts.apply_batch(docs, spark.createDataFrame(batch, schema))
+    assert [(r.path, r.content) for r in upserts.living(docs.read()).collect()] == [("b", "b")]
+    docs.rewrite(upserts.living)
+    assert docs.read().count() == 1
 
 
 def test_endpoint_without_a_path_meets_on_both_sides(spark):
@@ -280,13 +280,14 @@ def test_files(spark, tmp_path):
 
 def test_stream_upserts(spark, tmp_path):
     schema = "path string, version long, hash string, deleted boolean, content string"
-    folder, source = f"file://{tmp_path}/docs", f"{tmp_path}/in"
-    incremental.publish(spark.createDataFrame([("a", 1, "h", False, "old"), ("b", 1, "h", False, "old")], schema), folder)
+    source = f"{tmp_path}/in"
+    docs = store.Store(spark, f"file://{tmp_path}/docs", schema, version="version", buckets=2)
+    docs.upsert(spark.createDataFrame([("a", 1, "h", False, "old"), ("b", 1, "h", False, "old")], schema))
     spark.createDataFrame([("a", 3, "h", False, "new"), ("a", 2, "h", False, "late"), ("b", 2, "h", True, None), ("c", 1, "h", False, "c"), ("c", 1, "h", False, "c")], schema).write.parquet(source)
     for run in range(2):  # the second run brings the same batch again
         stream = spark.readStream.schema(schema).parquet(source)
-        upserts.maintain(stream, lambda: incremental.published(spark, folder), folder, f"{tmp_path}/cp{run}").awaitTermination()
-        assert {(r.path, r.content) for r in upserts.living(incremental.published(spark, folder)).collect()} == {("a", "new"), ("c", "c")}
+        upserts.maintain(stream, docs, f"{tmp_path}/cp{run}").awaitTermination()
+        assert {(r.path, r.content) for r in upserts.living(docs.read()).collect()} == {("a", "new"), ("c", "c")}
 
 
 def test_frontend_records(spark):
