@@ -36,6 +36,7 @@ def cut(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, with_i
     first piece takes what is left over. Null texts count as empty ones: they give one piece of
     length 1. Null and repeated identifiers pass through.
     """
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer_path), struct.pack("<I", end_id)
@@ -112,8 +113,9 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     return best
 
 
-def _packed(batches: Iterator[pa.RecordBatch], capacity: int, mark: int) -> Iterator[pa.RecordBatch]:
-    """Packs one partition. Rows that already have bins (bin is not null) keep them unless fewer do."""
+def _packed(batches: Iterator[pa.RecordBatch], capacity: int, before: int) -> Iterator[pa.RecordBatch]:
+    """Packs one partition, of which ``before`` were packed in earlier rounds. Rows that already have bins (bin is not
+    null) keep them unless fewer do."""
     from pyspark import TaskContext
 
     held = [b for b in batches if b.num_rows]
@@ -136,7 +138,7 @@ def _packed(batches: Iterator[pa.RecordBatch], capacity: int, mark: int) -> Iter
         kept = np.ones(len(fill), bool)
         kept[np.argsort(-free, kind="stable")[:SHARED_BINS]] = False
         loose &= ~kept
-    first = mark << 56 | TaskContext.get().partitionId() << 32
+    first = (before + TaskContext.get().partitionId()) << 32
     out = {"sequence_id": pa.array(first + bins), "offset": pa.array(offsets, pa.int64()), "loose": pa.array(loose[bins])}
     for name, values in out.items():
         rows = rows.set_column(rows.schema.get_field_index(name), name, values)
@@ -166,12 +168,14 @@ def pack(pieces: DataFrame, capacity: int, per_partition: int = PER_PARTITION) -
     done = [rows.filter(F.col("length") == capacity).withColumns({"sequence_id": F.lit(255 << 55).cast("long") + F.col("_row"), "offset": F.lit(0).cast("long")})]
     loose, n_loose, bound = rows.filter(F.col("length") < capacity), int(counts.sum()), lower_bound(counts, capacity)
     schema, settled, parts = rows.schema, 0, -(-int(counts.sum()) // per_partition)
-    before, mark = None, 0
+    before, mark, packed_parts = None, 0, 0  # sequences are numbered by partitions of all rounds
     while n_loose:
         mark += 1
         key = "_row" if mark == 1 else "sequence_id"
-        packed = stored(loose.repartition(max(1, parts), F.xxhash64(key)).mapInArrow(lambda batches, m=mark: _packed(batches, capacity, m), schema), f"packed-{mark}")
-        found = packed.groupBy("loose").agg(F.countDistinct("sequence_id").alias("bins"), F.count("*").alias("n")).collect()
+        dealt = loose.repartition(max(1, parts), F.xxhash64(key))
+        packed = stored(dealt.mapInArrow(lambda batches, n=packed_parts: _packed(batches, capacity, n), schema), f"packed-{mark}")
+        found = packed.groupBy("loose").agg(F.countDistinct("sequence_id").alias("bins"), F.count("*").alias("n"), F.max("sequence_id").alias("last")).collect()
+        packed_parts = max(r["last"] >> 32 for r in found) + 1
         bins = {r.loose: r.bins for r in found}
         n = {r.loose: r.n for r in found}
         done.append(packed.filter(~F.col("loose")))

@@ -40,10 +40,12 @@ SHARDS, PER_SHARD, LARGE = 256, 1 << 20, 32
 HOT = 16
 #: Entries that a task holds before it passes them on.
 FLUSH = 1 << 18
-#: Bits in which fingerprints of similar texts may differ. For shingle sets of similarity 0.8 the number is
-#: binomial with mean 9.7 and deviation 2.9: one pair in some ten thousand is further apart, and none
-#: to speak of at 0.85.
-RADIUS = 20
+#: Bits in which fingerprints of similar texts may differ. For sets of similarity 0.8 the number is close to binomial
+#: with mean 9.7 and deviation 2.9: one pair in a hundred million is further apart. That holds for sets of many
+#: shingles; pairs with a set of fewer than SMALL go to confirmation whatever their fingerprints are.
+RADIUS, SMALL = 28, 64
+#: Members of a block of a large group: blocks are compared two at a time, each pair in a task of its own.
+BLOCK = 8_192
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
@@ -186,7 +188,7 @@ def _met(prefixes: DataFrame, least: float, shards: int) -> DataFrame:
                 at = at[at + lag < first[at] + size[at]]
                 at = at[own["n"][at + lag] * least <= own["n"][at] + 1e-9]  # sizes ascend: more lag is no better
                 ok = at[np.minimum(left[at], left[at + lag]) >= least / (1 + least) * (own["n"][at].astype(np.int64) + own["n"][at + lag]) - 1e-9]
-                ok = ok[np.bitwise_count(own["f"][ok] ^ own["f"][ok + lag]) <= RADIUS]
+                ok = ok[(np.bitwise_count(own["f"][ok] ^ own["f"][ok + lag]) <= RADIUS) | (own["n"][ok] < SMALL)]  # the smaller of the two
                 low.append(ok)
                 high.append(ok + lag)
             both = np.stack([own["k"][np.concatenate(low)], own["k"][np.concatenate(high)]], axis=1)
@@ -231,41 +233,50 @@ def _stars(members: DataFrame, least: float) -> DataFrame:
     sums = stored(sums.select("s", majority.alias("m")), "majorities")
     away = members.join(sums, "s").select("s", F.struct(F.bit_count(F.col("f").bitwiseXOR(F.col("m"))).alias("d"), "k", "f", "n").alias("o"))
     centres = stored(away.groupBy("s").agg(F.min("o").alias("c")).select("s", "c.*").toDF("s", "d", "ck", "cf", "cn"), "centres")
-    near = members.join(centres, "s").filter((F.col("k") != F.col("ck")) & (F.bit_count(F.col("f").bitwiseXOR(F.col("cf"))) <= RADIUS) & (F.least("n", "cn") >= least * F.greatest("n", "cn") - 1e-9))
+    near = members.join(centres, "s").filter((F.col("k") != F.col("ck")) & ((F.bit_count(F.col("f").bitwiseXOR(F.col("cf"))) <= RADIUS) | (F.least("n", "cn") < SMALL)) & (F.least("n", "cn") >= least * F.greatest("n", "cn") - 1e-9))
     return near.select(F.least("k", "ck").alias("a"), F.greatest("k", "ck").alias("b")).distinct()
 
 
 def _apart(members: DataFrame, least: float) -> DataFrame:
     """Pairs a, b of members of a large group (columns s, k, f, n, p, root) that no link has joined so far,
-    found by a Burkhard-Keller tree over the group's fingerprints. Only pairs that can be similar with
-    this shingle as the first that they share: texts that share a passage everybody has drop out."""
+    found by Burkhard-Keller trees over the group's fingerprints. Only pairs that can be similar with
+    this shingle as the first that they share: texts that share a passage everybody has drop out. A group is cut into
+    blocks, and each pair of blocks has a task and a tree of its own, so no task holds a group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = pa.Table.from_batches(rows)
-            k, f, n, p, root = (own[c].to_numpy() for c in ("k", "f", "n", "p", "root"))
-            for x, y in BulkBKTree(f.view(np.uint64)).within(RADIUS):
-                ok = (x < y) & (root[x] != root[y]) & (np.minimum((n - p)[x], (n - p)[y]) >= least / (1 + least) * (n[x] + n[y]) - 1e-9)
-                if ok.any():
-                    a, b = k[x[ok]], k[y[ok]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            k, f, n, p, root, block, i, j = (own[c].to_numpy() for c in ("k", "f", "n", "p", "root", "own", "i", "j"))
+            few = np.flatnonzero(n < SMALL / least)  # partners of small sets
+            searches = [(np.arange(len(k)), RADIUS)] + ([(few, 64)] if (n[few] < SMALL).any() else [])
+            for who, radius in searches:
+                for x, y in BulkBKTree(f[who].view(np.uint64)).within(radius):
+                    x, y = who[x], who[y]
+                    ok = (x < y) & (root[x] != root[y]) & ((block[x] != block[y]) | (i[0] == j[0])) & (np.minimum((n - p)[x], (n - p)[y]) >= least / (1 + least) * (n[x] + n[y]) - 1e-9)
+                    if ok.any():
+                        a, b = k[x[ok]], k[y[ok]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         now, held = None, []
         for batch in batches:
-            s = batch.column("s").to_numpy()
-            cuts = [0, *(np.flatnonzero(s[1:] != s[:-1]) + 1).tolist(), len(s)]
+            key = np.stack([batch.column(c).to_numpy() for c in ("s", "i", "j")])
+            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
             for low, high in zip(cuts, cuts[1:], strict=False):
                 if low == high:
                     continue
-                if s[low] != now and held:
+                if key[:, low].tolist() != now and held:
                     yield from out(held)
                     held = []
-                now = s[low]
+                now = key[:, low].tolist()
                 held.append(batch.slice(low, high - low))
         if held:
             yield from out(held)
 
-    return members.repartition(F.col("s")).sortWithinPartitions("s").mapInArrow(run, "a long, b long")
+    blocks = members.groupBy("s").agg(F.ceil(F.count("*") / BLOCK).alias("of"))
+    cut = members.join(small_side(stored(blocks, "blocks")), "s").withColumn("own", F.pmod(F.xxhash64("k"), F.col("of")))
+    sides = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
+    sides = sides.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    return sides.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, rows: DataFrame, least: DataFrame, words: int, similarity: float, text_col: str) -> DataFrame:
@@ -305,7 +316,7 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, least: DataFrame, words: int,
 
 def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row, with all its columns, of each component of rows whose sets of shingles have at least
-    that Jaccard similarity (and whose fingerprints are within RADIUS bits): the one with the smallest
+    that Jaccard similarity (of large sets, whose fingerprints are also within RADIUS bits): the one with the smallest
     identifier, null ones last; of rows that share it, one. Texts without a word, null ones among
     them, are alike. Repeated rows are alike too. An empty table gives an empty one.
     """

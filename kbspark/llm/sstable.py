@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import new_folder, slices, stored
+from .common import new_folder, ship, slices, stored
 from .encoding import encoder
 
 MAGIC = b"KSST0001"
@@ -221,6 +221,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
     for its filter.
     """
     spark = docs.sparkSession
+    ship(spark)
     folder = folder or new_folder(spark, "sst")
     ranged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ranged = ranged.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id")
@@ -256,6 +257,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
 def read_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     """Reads shards back: doc_id, start, n_tokens, ids_crc32, shard and, if asked for, ids (binary,
     little-endian unsigned 32-bit integers). One row for each document that was written."""
+    ship(manifest.sparkSession)
     # As many partitions as shards: the rows are tiny, so Spark would put them all in one task.
     shards = manifest.select("path", "start").repartitionByRange(max(1, manifest.count()), F.col("start"), F.col("path"))
     kinds = {"doc_id": pa.int64(), "start": pa.int64(), "n_tokens": pa.int64(), "ids_crc32": pa.int64(), "shard": pa.string()} | ({"ids": pa.binary()} if with_ids else {})
