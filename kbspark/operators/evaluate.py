@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import round_half_up
+from .names import contained, holding
 
 
 def percent(covered: Column, expected: Column) -> Column:
@@ -30,10 +31,10 @@ def total(checks: DataFrame) -> DataFrame:
 
 
 def covered_by_text(names: DataFrame, texts: DataFrame, module: str = "module") -> DataFrame:
-    """Names that some text of the same module holds, as whole words or parts. names: module, name;
-    texts: module, text. The module is an equality; only the containment is tested pair by pair."""
-    met = names.join(texts, module).filter(F.contains("text", F.col("name")))
-    return met.select(module, "name").distinct()
+    """Names that some text of the same module holds, as whole words or parts. names: module, name; texts: module,
+    text. Each text is read once for all names (of a bounded shard)."""
+    found = contained(names.select(F.col(module).alias("module"), "name"), texts.select(F.col(module).alias("module"), "text"))
+    return found.withColumnRenamed("module", module)
 
 
 def hit_rate(expected: Column, actual: Column) -> Column:
@@ -92,9 +93,9 @@ def method_coverage(found: DataFrame) -> DataFrame:
 
 
 def undocumented(names: DataFrame, titles: DataFrame) -> DataFrame:
-    """module, name of names that no title of their module equals, or holds, or is part of. Equal ones go by
-    a hash join; only the rest is compared within its module. names: module, name; titles: module,
-    title."""
+    """module, name of names that no title of their module equals, or holds, or is part of. Equal ones go by a hash join;
+    the rest is looked up in the titles, and the titles in it, by automata. names: module, name; titles: module, title."""
     rest = names.join(titles.select("module", F.col("title").alias("name")).distinct(), ["module", "name"], "left_anti")
-    near = rest.join(titles, "module").filter(F.contains("title", F.col("name")) | F.contains("name", F.col("title"))).select("module", "name").distinct()
-    return rest.join(near, ["module", "name"], "left_anti")
+    held = contained(rest, titles.select("module", F.col("title").alias("text")))
+    holds = holding(rest.select("module", F.col("name").alias("text")), titles.select("module", F.col("title").alias("name")))
+    return rest.join(held, ["module", "name"], "left_anti").join(holds.withColumnRenamed("text", "name"), ["module", "name"], "left_anti")

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import basename, camel_to_snake, strip
+from .scopes import scope_ends
 
 # Names that an extractor passes over, and what counts as a business rule.
 PLAIN_METHODS = ["equals", "hashCode", "toString", "pkVal"]
@@ -52,20 +54,15 @@ def base_path(text: Column) -> Column:
     return F.coalesce(first(text, r'@RequestMapping\("([^"]+)"\)'), F.lit(""))
 
 
-def brace_end(lines: Column, start: Column) -> Column:
-    """Place (from 1) of the line on which the braces that open at or after ``start`` close; the first
-    line with a semicolon if it comes before any brace; ``start`` where they never close."""
-    state = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("open"), F.lit(0).alias("end"), F.lit(0).alias("at"))
+def matching(lines: Column, pattern: str) -> Column:
+    """Places (from 0) of the lines that match: what a file's places are joined with stays small, whatever its length."""
+    return F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(pattern), i)), lambda i: i.isNotNull())
 
-    def step(s: Column, x: Column) -> Column:
-        depth = s["depth"] + F.regexp_count(x, F.lit(r"\{")) - F.regexp_count(x, F.lit(r"\}"))
-        opened = s["open"] | F.contains(x, F.lit("{"))
-        ends = (opened & (depth == 0)) | (~opened & F.contains(x, F.lit(";")))
-        end = F.when((s["end"] == 0) & ends, start + s["at"]).otherwise(s["end"])
-        return F.struct(depth.alias("depth"), opened.alias("open"), end.alias("end"), (s["at"] + 1).alias("at"))
 
-    rest = F.slice(lines, start, F.greatest(F.size(lines) - start + 1, F.lit(0)))
-    return F.aggregate(rest, state, step, lambda s: F.when(s["end"] > 0, s["end"]).otherwise(start))
+def around(lines: Column, i: Column, before: int, after: int) -> tuple[Column, Column]:
+    """The lines above a place (from 0), ``before`` of them at most, and those below it, ``after`` of them at most."""
+    low = F.greatest(i - before + 1, F.lit(1))
+    return F.slice(lines, low, i - low + 1), F.slice(lines, i + 2, after)
 
 
 def enum_values(files: DataFrame) -> DataFrame:
@@ -112,33 +109,43 @@ def endpoints(files: DataFrame) -> DataFrame:
     comment, line: one row for each mapping annotation; the comment block starts up to ten lines
     above, the signature stands up to four lines below."""
     text = F.col("content")
-    rows = files.select("path", first(text, r"public\s+class\s+(\w+)").alias("class_name"), base_path(text).alias("base"), lines_of(text).alias("ls"))
-    rows = rows.select("path", "class_name", "base", "ls", F.posexplode("ls").alias("i", "l"))
     mark = r'@(Get|Post|Put|Delete|Patch)Mapping\("([^"]+)"\)'
-    rows = rows.filter(F.col("l").rlike(mark))
-    below = F.filter(F.slice("ls", F.col("i") + 2, 4), lambda x: x.rlike(r"public\s+\S+\s+\w+\s*\([^)]*\)"))
+    rows = files.select("path", first(text, r"public\s+class\s+(\w+)").alias("class_name"), base_path(text).alias("base"), lines_of(text).alias("ls"))
+    rows = rows.withColumn("at", matching(F.col("ls"), mark))
+
+    def place(i: Column) -> Column:
+        above, below = around(F.col("ls"), i, 10, 4)
+        return F.struct(i.alias("i"), F.get("ls", i).alias("l"), above.alias("above"), below.alias("below"))
+
+    rows = rows.select("path", "class_name", "base", F.inline(F.transform("at", place)))
+    below = F.filter("below", lambda x: x.rlike(r"public\s+\S+\s+\w+\s*\([^)]*\)"))
     signature = F.when(F.size(below) > 0, below[0]).otherwise("")
     shape = r"public\s+(\S+)\s+(\w+)\s*\(([^)]*)\)"
     arguments = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(signature, shape, 3), r"@\w+\s*", ""), r"\s+", " "))
-    low = F.greatest(F.col("i") - 9, F.lit(1))
-    above = F.slice("ls", low, F.col("i") - low + 1)
-    starts = F.filter(F.transform(above, lambda x, k: F.when(F.trim(x).startswith("/**"), k)), lambda k: k.isNotNull())
-    block = F.when(F.size(starts) > 0, F.slice(above, F.element_at(starts, -1) + 1, 20)).otherwise(F.array().cast("array<string>"))
+    starts = F.filter(F.transform("above", lambda x, k: F.when(F.trim(x).startswith("/**"), k)), lambda k: k.isNotNull())
+    block = F.when(F.size(starts) > 0, F.slice("above", F.element_at(starts, -1) + 1, 20)).otherwise(F.array().cast("array<string>"))
     said = F.filter(F.transform(block, lambda x: F.trim(F.regexp_replace(x, r"^\s*\*\s?", ""))), lambda x: (x != "") & ~x.rlike("^[@/<]"))
     return rows.select("path", "class_name", F.upper(F.regexp_extract("l", mark, 1)).alias("http_method"), F.concat("base", F.regexp_extract("l", mark, 2)).alias("endpoint"), F.regexp_extract(signature, shape, 2).alias("method_name"), F.regexp_extract(signature, shape, 1).alias("return_type"), arguments.alias("params"), F.array_join(said, " ").alias("comment"), (F.col("i") + 1).alias("line"))
 
 
-def methods(files: DataFrame, pattern: str = METHOD) -> DataFrame:
+def methods(files: DataFrame, pattern: str = METHOD, with_body: bool = False) -> DataFrame:
     """path, class_name, package_name, visibility, return_type, method_name, params (type and name of
-    each), line_start, line_end, body_lines, annotations. Constructors and plain object methods go."""
+    each), line_start, line_end, body_lines, annotations, [body]. Constructors and plain object methods go. A
+    file's scopes are found in one pass, so time follows its lines; nested methods' bodies are held in each."""
     text = F.col("content")
     package = F.coalesce(first(text, r"(?m)^package\s+([\w.]+);"), F.lit(""))
-    rows = files.select("path", class_name(text, F.col("path")).alias("class_name"), package.alias("package_name"), lines_of(text).alias("ls"))
-    rows = rows.select("path", "class_name", "package_name", "ls", F.posexplode("ls").alias("i", "l")).filter(F.col("l").rlike(pattern))
+    rows = files.select("path", class_name(text, F.col("path")).alias("class_name"), package.alias("package_name"), lines_of(text).alias("ls"), scope_ends(text).alias("ends"))
+    rows = rows.withColumn("at", matching(F.col("ls"), pattern))
+
+    def place(i: Column) -> Column:
+        end = F.get("ends", i)
+        parts = [i.alias("i"), F.get("ls", i).alias("l"), around(F.col("ls"), i, 10, 0)[0].alias("above"), end.alias("line_end")]
+        return F.struct(*parts, *([F.array_join(F.slice("ls", i + 1, end - i), "\n").alias("body")] if with_body else []))
+
+    rows = rows.select("path", "class_name", "package_name", F.inline(F.transform("at", place)))
     rows = rows.withColumn("method_name", F.regexp_extract("l", pattern, 3)).filter((F.col("method_name") != F.col("class_name")) & ~F.col("method_name").isin(PLAIN_METHODS))
     params = F.transform(F.split(F.trim(F.regexp_extract("l", r"\(([^)]*)\)", 1)), ","), lambda p: F.array_join(F.slice(F.split(F.trim(p), r"\s+"), F.greatest(F.size(F.split(F.trim(p), r"\s+")) - 1, F.lit(1)), 2), " "))
-    low = F.greatest(F.col("i") - 9, F.lit(1))
-    above = F.reverse(F.slice("ls", low, F.col("i") - low + 1))
+    above = F.reverse("above")
     state = F.struct(F.lit(False).alias("done"), F.array().cast("array<string>").alias("out"))
     mark = r"^@\w+(?:\([^)]*\))?"
 
@@ -147,17 +154,13 @@ def methods(files: DataFrame, pattern: str = METHOD) -> DataFrame:
         stop = s["done"] | (own == "") | own.startswith("*/")
         return F.struct(stop.alias("done"), F.when(~stop & own.rlike(mark), F.concat(s["out"], F.array(F.regexp_extract(own, mark, 0)))).otherwise(s["out"]).alias("out"))
 
-    end = brace_end(F.col("ls"), F.col("i") + 1)
-    rows = rows.withColumn("line_end", end).withColumn("line_start", F.col("i") + 1)
-    return rows.select("path", "class_name", "package_name", F.regexp_extract("l", pattern, 1).alias("visibility"), F.regexp_extract("l", pattern, 2).alias("return_type"), "method_name", F.array_join(params, ", ").alias("params"), "line_start", "line_end", (F.col("line_end") - F.col("line_start") + 1).alias("body_lines"), F.aggregate(above, state, look, lambda s: s["out"]).alias("annotations"))
+    rows = rows.withColumn("line_start", F.col("i") + 1)
+    return rows.select("path", "class_name", "package_name", F.regexp_extract("l", pattern, 1).alias("visibility"), F.regexp_extract("l", pattern, 2).alias("return_type"), "method_name", F.array_join(params, ", ").alias("params"), "line_start", "line_end", (F.col("line_end") - F.col("line_start") + 1).alias("body_lines"), F.aggregate(above, state, look, lambda s: s["out"]).alias("annotations"), *(["body"] if with_body else []))
 
 
 def method_bodies(files: DataFrame) -> DataFrame:
     """path, class_name, method_name, line_start, line_end, body of methods of any visibility."""
-    found = methods(files, ANY_METHOD).select("path", "class_name", "method_name", "line_start", "line_end")
-    texts = files.select("path", lines_of(F.col("content")).alias("ls"))
-    body = F.array_join(F.slice("ls", F.col("line_start"), F.col("line_end") - F.col("line_start") + 1), "\n")
-    return found.join(texts, "path").withColumn("body", body).drop("ls")
+    return methods(files, ANY_METHOD, with_body=True).select("path", "class_name", "method_name", "line_start", "line_end", "body")
 
 
 def injected_fields(files: DataFrame) -> DataFrame:
@@ -291,8 +294,10 @@ def forwards(files: DataFrame) -> DataFrame:
     """path, http_method, target, name of client interfaces: an annotation with an address and a name
     before a bracket on one of the next two lines."""
     mark = r'@(GET|POST|PUT|DELETE|PATCH)\("([^"]+)"\)'
-    rows = files.select("path", lines_of(F.col("content")).alias("ls")).select("path", "ls", F.posexplode("ls").alias("i", "l")).filter(F.col("l").rlike(mark))
-    named = F.filter(F.transform(F.slice("ls", F.col("i") + 2, 2), lambda x: first(x, r"(\w+)\s*\(")), lambda x: x.isNotNull())
+    rows = files.select("path", lines_of(F.col("content")).alias("ls"))
+    rows = rows.withColumn("at", matching(F.col("ls"), mark))
+    rows = rows.select("path", F.inline(F.transform("at", lambda i: F.struct(F.get("ls", i).alias("l"), around(F.col("ls"), i, 0, 2)[1].alias("below")))))
+    named = F.filter(F.transform("below", lambda x: first(x, r"(\w+)\s*\(")), lambda x: x.isNotNull())
     return rows.select("path", F.regexp_extract("l", mark, 1).alias("http_method"), F.regexp_extract("l", mark, 2).alias("target"), F.when(F.size(named) > 0, named[0]).alias("name"))
 
 
@@ -348,21 +353,26 @@ def route_nodes(rows: DataFrame, json_col: str = "json") -> DataFrame:
 
 
 def status_values(files: DataFrame, kind: str = "(Status|State)$") -> DataFrame:
-    """class_name, code_name, code, description, place of the values of enums whose name matches: the
+    """class_name, code_name, code, description of the values of enums whose name matches: the
     states of a machine. Only what stands before the first private member is a value."""
     rows = enum_values(files).filter(F.col("class_name").rlike(kind))
     return rows.select("class_name", "code_name", "code", "description")
 
 
 def controller_methods(files: DataFrame) -> DataFrame:
-    """path, class_name, method_name, http_method, endpoint, comment, line, body: each mapped method with
-    its text. A method's mapping is the last one above its first line."""
+    """path, class_name, method_name, http_method, endpoint, comment, line, body: each mapped method with its text. A
+    mapping belongs to the first method below it, of any visibility, if that has the name of the signature that follows the
+    mapping; of several mappings above a method the last one counts. Overloads without a mapping have no row."""
     bodies = method_bodies(files).select("path", "method_name", "line_start", "body")
-    near = endpoints(files).select("path", "class_name", "method_name", "http_method", "endpoint", "comment", "line")
-    met = near.join(bodies, ["path", "method_name"]).filter(F.col("line_start") >= F.col("line"))
-    rest = [c for c in met.columns if c not in ("path", "method_name", "line_start")]
-    best = met.groupBy("path", "method_name", "line_start").agg(F.max_by(F.struct(*rest), "line").alias("m"))
-    return best.select("path", "m.class_name", "method_name", "m.http_method", "m.endpoint", "m.comment", "m.line", "m.body")
+    near = endpoints(files).select("path", "class_name", F.col("method_name").alias("named"), "http_method", "endpoint", "comment", "line")
+    # Methods and mappings of a file in the order of their lines: each method takes the last mapping since the one before it.
+    marks = near.select("path", F.col("line").alias("at"), F.lit(0).alias("kind"), F.struct(*near.columns[1:]).alias("m"), F.lit(None).cast("struct<method_name:string,body:string>").alias("b"))
+    own = bodies.select("path", F.col("line_start").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(marks.schema["m"].dataType).alias("m"), F.struct("method_name", "body").alias("b"))
+    before = Window.partitionBy("path").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    rows = marks.unionByName(own).withColumn("seen", F.coalesce(F.sum("kind").over(before), F.lit(0)))
+    last = F.last("m", ignorenulls=True).over(Window.partitionBy("path", "seen").orderBy("at", "kind"))
+    met = rows.withColumn("m", last).filter("kind = 1 and m is not null")
+    return met.filter(F.col("m.named") == F.col("b.method_name")).select("path", "m.class_name", "b.method_name", "m.http_method", "m.endpoint", "m.comment", "m.line", "b.body")
 
 
 def candidates_by_class(candidates: DataFrame) -> DataFrame:

@@ -41,15 +41,53 @@ def segments(name: Column) -> Column:
     return F.filter(F.split(F.lower(F.regexp_replace(bare, "([A-Z])", "/$1")), "/"), lambda x: x != "")
 
 
+#: Letters of the n-grams that texts are indexed by.
+GRAM = 3
+
+
+def _grams(text: Column, sizes: list[int]) -> Column:
+    """The distinct n-grams of a text, of each size that it is long enough for."""
+    cut = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*(cut(n) for n in sizes)))
+
+
+def parts(short: DataFrame, long: DataFrame) -> DataFrame:
+    """short, long: pairs of texts (column text of either side) of which the first is part of the second.
+
+    The longer texts are indexed by their n-grams. All grams of a text stand in whatever holds it, so it is enough to look one up:
+    the rarest, which no common gram can make hot. What meets there is checked exactly. Texts shorter than a gram are grams
+    themselves. Empty and null texts meet nothing.
+    """
+    index = long.select(F.col("text").alias("long")).filter("long != ''").distinct().select("long", F.explode(_grams(F.col("long"), list(range(1, GRAM + 1)))).alias("gram"))
+    often = index.groupBy("gram").count()
+    own = short.select(F.col("text").alias("short")).filter("short != ''").distinct()
+    keys = own.select("short", F.explode(F.when(F.length("short") < GRAM, F.array("short")).otherwise(_grams(F.col("short"), [GRAM]))).alias("gram"))
+    counted = keys.join(often, "gram", "left")  # a gram that is nowhere rules its text out
+    rarest = counted.groupBy("short").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "gram")).alias("g")).filter("g.n > 0").select("short", "g.gram")
+    return rarest.join(index, "gram").filter(F.contains("long", F.col("short"))).select("short", "long")
+
+
 def best_match(functions: DataFrame, flows: DataFrame, least: int = 2) -> DataFrame:
     """For each function (function_name, http_method) the flow (flow_path, place) of the same verb
     with the most words in common, either way a part of the other; ``least`` words at least, the
-    first place wins ties. The verb is an equality, so the join hashes; flows are the smaller side
-    but may grow, so the planner decides how they travel.
+    first place wins ties.
+
+    Words find the segments that hold them, or that they hold, in an index, and these the flows. A flow that shares ``least`` words with
+    a function shares one of any that are left when ``least`` - 1 are taken away, so the commonest words of a
+    function find nothing. The flows that the others find are then counted exactly.
     """
-    asked = functions.select("function_name", "http_method", segments(F.col("function_name")).alias("ws"))
-    given = flows.select("http_method", "flow_path", "place", F.filter(F.split("flow_path", "/"), lambda x: x != "").alias("ps"))
-    met = asked.join(given, "http_method").withColumn("matched", F.size(F.filter("ws", lambda w: F.exists("ps", lambda p: F.contains(p, w) | F.contains(w, p)))))
+    asked = functions.select("function_name", "http_method", segments(F.col("function_name")).alias("ws")).distinct()
+    given = flows.select("http_method", "flow_path", "place", F.filter(F.split("flow_path", "/"), lambda x: x != "").alias("ps")).distinct()
+    words = asked.select("function_name", "http_method", F.posexplode("ws").alias("at", "w"))
+    ends = given.select("http_method", "flow_path", "place", F.explode(F.array_distinct("ps")).alias("p"))
+    w, p = words.select(F.col("w").alias("text")), ends.select(F.col("p").alias("text"))
+    near = parts(w, p).toDF("w", "p").unionByName(parts(p, w).toDF("p", "w")).distinct()
+    known = near.join(ends.groupBy("http_method", "p").count(), "p").groupBy("http_method", "w").agg(F.sum("count").alias("flows"))
+    order = Window.partitionBy("function_name", "http_method").orderBy(F.desc("flows"), "at")
+    rare = words.join(known, ["http_method", "w"]).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") >= least)
+    found = rare.select("function_name", "http_method", "w").distinct().join(near, "w").join(ends, ["http_method", "p"]).select("function_name", "http_method", "flow_path", "place").distinct()
+    met = found.join(asked, ["function_name", "http_method"]).join(given, ["http_method", "flow_path", "place"])
+    met = met.withColumn("matched", F.size(F.filter("ws", lambda w: F.exists("ps", lambda p: F.contains(p, w) | F.contains(w, p)))))
     kept = met.filter(F.col("matched") >= least).groupBy("function_name", "http_method").agg(F.max_by(F.struct("flow_path", "matched"), F.struct("matched", -F.col("place"))).alias("b"))
     return kept.select("function_name", "http_method", "b.flow_path", "b.matched")
 

@@ -83,6 +83,26 @@ def eval_report(per_query: DataFrame) -> DataFrame:
     return per_query.withColumn("problems", worse).filter(F.size("problems") > 0)
 
 
+def eval_lines(summary: DataFrame, per_query: DataFrame, provenance: DataFrame, stale: DataFrame) -> DataFrame:
+    """section, place, line: the lines of an evaluation report, to be written in the order of section and place: totals (1), queries
+    that went worse (2), symbols not found where they were expected (3), expected files that are gone (4). A section
+    without rows has no lines. summary: one row of ``evaluate.summary``; per_query: query, hit_rate, graph_recall; provenance: query, symbol,
+    from_file, ok; stale: query, file_path."""
+    share = lambda c, digits: F.concat(F.format_number(F.col(c) * 100, digits), F.lit("%"))
+    totals = {"Hit Rate": share("hit_rate", 1), "MRR": share("mrr", 1), "Graph Recall": share("graph_recall", 1), "Provenance Accuracy": share("provenance", 1), "Total Queries": F.col("total_queries").cast("string"), "Stale Queries": F.col("stale_queries").cast("string")}
+    first = summary.select(F.posexplode(F.array(*(F.concat(F.lit(f"| {k} | "), v, F.lit(" |")) for k, v in totals.items()))).alias("place", "line"))
+    missing = F.concat_ws(", ", F.when(F.col("hit_rate") < 1, "hits"), F.when(F.col("graph_recall") < 1, "graph"))
+    worse = per_query.filter((F.col("hit_rate") < 1) | (F.col("graph_recall") < 1)).select("query", F.concat(F.lit("| "), cell(F.col("query")), F.lit(" | "), share("hit_rate", 0), F.lit(" | "), share("graph_recall", 0), F.lit(" | "), missing, F.lit(" |")).alias("line"))
+    wrong = provenance.filter("not ok").select("query", F.concat(F.lit("- **"), F.col("symbol"), F.lit("** expected under `"), F.coalesce("from_file", F.lit("")), F.lit("` \u2014 not found: "), F.col("query")).alias("line"))
+    gone = stale.select("query", F.concat(F.lit("| "), cell(F.col("query")), F.lit(" | `"), F.col("file_path"), F.lit("` |")).alias("line"))
+    out = first.select(F.lit(1).alias("section"), F.col("place").cast("long").alias("place"), "line")
+    for section, rows in ((2, worse), (3, wrong), (4, gone)):
+        # A line's place is the number of lines that come before it in its own range.
+        ordered = rows.orderBy("query", "line").withColumn("place", F.monotonically_increasing_id())
+        out = out.unionByName(ordered.select(F.lit(section).alias("section"), "place", "line"))
+    return out
+
+
 def prompts(bodies: DataFrame, services: DataFrame, enums: DataFrame, errors: DataFrame) -> DataFrame:
     """entry, prompt: what a language model gets to describe a flow: the entry's body, its services'
     bodies (3000 characters), enums (1000) and errors (1500). bodies: entry, body; services: entry,

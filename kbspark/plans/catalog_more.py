@@ -193,7 +193,7 @@ def graph_search(spark, sf):
 @query("SELECT DISTINCT d.lang AS module, b.item_id::VARCHAR AS name FROM documents d JOIN benchmark b ON contains(d.text, b.item_id::VARCHAR)")
 def verify_by_text(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("lang").alias("module"), "text")
-    names = docs.select("module").distinct().join(F.broadcast(table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("name"))))
+    names = docs.select("module").distinct().join(table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("name")))
     return evaluate.covered_by_text(names, docs)
 
 

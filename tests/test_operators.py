@@ -86,16 +86,6 @@ def test_sections_and_fences(spark):
     assert one(spark, chunk.numbered(F.lit("a\n```\nb\n```\nc"), F.lit(7))) == "a\n```\n9| b\n```\nc"
 
 
-def test_brace_end(spark):
-    def end(lines, start):
-        return one(spark, extract.brace_end(F.array(*map(F.lit, lines)), F.lit(start)))
-
-    assert end(["f() {", "  if (a) { b(); }", "}", "x"], 1) == 3
-    assert end(["abstract int f();", "}"], 1) == 1
-    assert end(["f() {", "  never closed"], 1) == 1
-    assert end(["a", 'f() { s = "}"; }', "b"], 2) == 2
-
-
 def test_route(spark):
     cases = {"a/tests/x.java": "skip", "a/FooConfig.java": "index-only", "a/service/Foo.java": "lm-judge", "a/dao/Foo.java": "generate", "a/none.txt": "index-only", "A\\ENTITY\\x.java": "generate"}
     for path, action in cases.items():
