@@ -215,19 +215,32 @@ def throw_sites(files: DataFrame) -> DataFrame:
 def transitions(files: DataFrame, enum: str, call: str, before: int = 500, after: int = 300) -> DataFrame:
     """path, to_status, from_status, method_name, line: each call of ``call`` with the first value of
     ``enum`` in the characters around it, the values listed there with ``List.of`` as origin (else
-    ``any``), and the last method header before it."""
+    ``any``), and the last method header before it.
+
+    A file is cut at its calls; what the pieces before a call say (lines, the last header, the characters just before)
+    is carried from piece to piece, so time follows the text.
+    """
+    shape = r"(?:public|private|protected)\s+\S+\s+(\w+)\s*\("
     pieces = F.split("content", rf"{call}\s*\(", -1)
-    rows = files.select("path", "content", pieces.alias("p"), F.posexplode(pieces).alias("k", "rest")).filter("k > 0")
-    ahead = F.array_join(F.slice("p", 1, F.col("k")), f"{call}(")
-    window = F.concat(F.substring(ahead, F.greatest(F.length(ahead) - before + 1, F.lit(1)), before), F.lit(f"{call}("), F.substring("rest", 1, after))
-    listed = F.array_join(every(F.regexp_extract(window, r"List\.of\(([^)]*)\)", 1), rf"{enum}\.(\w+)", 1), " | ")
-    return rows.select(
-        "path",
-        first(window, rf"{enum}\.(\w+)").alias("to_status"),
-        F.coalesce(F.nullif(listed, F.lit("")), F.lit("any")).alias("from_status"),
-        F.element_at(F.concat(F.array(F.lit("")), every(ahead, r"(?:public|private|protected)\s+\S+\s+(\w+)\s*\(", 1)), -1).alias("method_name"),
-        F.size(lines_of(ahead)).alias("line"),
-    )
+    numbered = files.withColumn("_file", F.monotonically_increasing_id())  # of each file, before it is cut
+    rows = numbered.select("path", "_file", F.posexplode(pieces).alias("k", "piece"))
+    # A piece with its call behind it is what the text ahead of later calls is made of.
+    headers = lambda text: F.element_at(F.concat(F.array(F.lit(None).cast("string")), every(text, shape, 1)), -1)
+    whole = F.concat("piece", F.lit(f"{call}("))
+    so_far = Window.partitionBy("_file").orderBy("k")
+    past, until = so_far.rowsBetween(Window.unboundedPreceding, -2), so_far.rowsBetween(Window.unboundedPreceding, -1)
+    near = so_far.rowsBetween(-1 - before // (len(call) + 1), -1)
+    rows = rows.withColumns({"_closed": headers(whole), "_open": headers(F.col("piece")), "_lines": F.size(lines_of(F.col("piece"))) - 1, "_tail": F.right(whole, F.lit(before + len(call) + 1))})
+    rows = rows.withColumns({
+        "method_name": F.coalesce(F.lag("_open").over(so_far), F.last("_closed", ignorenulls=True).over(past), F.lit("")),
+        "line": (F.sum("_lines").over(until) + 1).cast("int"),
+        "_ahead": F.array_join(F.collect_list("_tail").over(near), ""),
+    }).filter("k > 0")
+    ahead = F.right(F.left("_ahead", F.greatest(F.length("_ahead") - (len(call) + 1), F.lit(0))), F.lit(before))
+    window = F.concat(ahead, F.lit(f"{call}("), F.substring("piece", 1, after))
+    rows = rows.withColumn("_window", window)
+    listed = F.array_join(every(F.regexp_extract("_window", r"List\.of\(([^)]*)\)", 1), rf"{enum}\.(\w+)", 1), " | ")
+    return rows.select("path", first(F.col("_window"), rf"{enum}\.(\w+)").alias("to_status"), F.coalesce(F.nullif(listed, F.lit("")), F.lit("any")).alias("from_status"), "method_name", "line")
 
 
 def routes(files: DataFrame) -> DataFrame:
@@ -269,7 +282,8 @@ def stores(files: DataFrame) -> DataFrame:
 
 def api_types(files: DataFrame, keyword: str, most_apis: int = 50, most_fields: int = 15) -> DataFrame:
     """path, api, api_path, place, field, type: fields of the request types of documented namespaces
-    whose path holds the keyword; so many of each file and of each type are shown."""
+    whose path holds the keyword; so many of each file and of each type are shown. A namespace reaches to the next one, over
+    that one's comment, so of namespaces that follow each other every second is found: results are to be the same."""
     shape = r"接口路径：([^\n]+)(?:(?!\*/)[\s\S])*\*/\s*\nexport namespace (\w+)\s*\{((?:(?!\nexport namespace)[\s\S])*)"
     rows = files.select("path", every(F.col("content"), shape).alias("all"))
     told = F.filter(F.transform("all", lambda x: F.struct(F.regexp_extract(x, shape, 2).alias("api"), F.trim(F.regexp_extract(x, shape, 1)).alias("api_path"), every(F.regexp_extract(x, r"export interface Req\s*\{([\s\S]*?)\n\s*\}", 1), r"(?m)^\s*\w+\??:\s*[^;]+;").alias("fields"))), lambda a: F.contains(a["api_path"], F.lit(keyword)) & (F.size(a["fields"]) > 0))

@@ -7,19 +7,24 @@ broken by similarity before rounding, then by identifier.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..functions.vectors import cosine, score
+from ..sources.tables import working_folder
 
 TOP_K, THRESHOLD, CROSS_PROJECT_K = 5, 0.35, 10
-#: Queries that go to all tasks at a time.
-QUERY_BLOCK = 1 << 16
+#: Queries that a task compares its vectors with at a time, and bytes of vectors that it holds meanwhile.
+QUERY_BLOCK, GATHERED = 1 << 16, 64 << 20
 
 
 def top_k(chunks: DataFrame, query: list[float], k: int = TOP_K, threshold: float | None = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -36,26 +41,66 @@ def top_k_batch(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, threshold
     """For each row (query_id, query, and what else comes along) the k nearest rows (of each group
     ``by``), with their rank.
 
-    The queries are a stated set; blocks of at most ``QUERY_BLOCK`` of them go to all tasks. A task reads
-    its rows once, compares them with the whole block by matrix products, and keeps the best k of each
-    query; only these are shuffled. The products only pick candidates: a candidate's similarity is
-    summed in the order of the components. Vectors that are null, zero, of another length or that
-    hold a null or non-finite component are no hits.
+    The queries are written once, in files of at most ``QUERY_BLOCK``, to the folder that all executors share; the driver
+    holds none of them. A task reads its vectors once, some at a time, and compares these with one block of
+    queries after the other by matrix products; it keeps the best k of each query, and only these are
+    shuffled. The products only pick candidates: a candidate's similarity is summed in the order of the
+    components. Vectors that are null, zero, of another length or that hold a null or non-finite component
+    are no hits.
     """
     keys = ["query_id", *(by or [])]
     order = Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("similarity"), F.asc(id_col))
-    schema, out = StructType(list(chunks.schema.fields)).add(queries.schema["query_id"]).add("similarity", "double"), None
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    for b in range(blocks):
-        some = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        found = chunks.mapInArrow(_nearest(some.select("query_id", F.col("query").cast("array<double>")).toArrow(), k, by or [], id_col, vector_col), schema)
-        ranked = found.withColumn("score", score(F.col("similarity"))).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        out = ranked if out is None else out.unionByName(ranked)
+    schema = StructType(list(chunks.schema.fields)).add(queries.schema["query_id"]).add("similarity", "double")
+    blocks = _written(queries.select("query_id", F.col("query").cast("array<double>").alias("query")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _gathered(batches):
+            for path in blocks:
+                yield from _nearest(_opened(path), k, by or [], id_col, vector_col)(iter(some))
+
+    found = chunks.mapInArrow(run, schema)
+    out = found.withColumn("score", score(F.col("similarity"))).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     if len(queries.columns) > 2:
         out = out.join(queries.drop("query"), "query_id")
     return out.filter(F.col("score") >= threshold) if threshold is not None else out
 
 
+def _written(queries: DataFrame) -> list[str]:
+    """Files of the shared folder that hold a block of queries each."""
+    spark, folder = queries.sparkSession, working_folder(queries.sparkSession)
+    queries.coalesce(8).write.option("maxRecordsPerFile", QUERY_BLOCK).parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted(f"{folder}/{name}" for x in found if (name := x.getPath().getName()).endswith(".parquet"))
+
+
+def _opened(path: str) -> pa.Table:
+    """A block of queries; the last one stays in memory, which is all where there is only one."""
+    if path not in _BLOCK:
+        store, inner = fs.FileSystem.from_uri(path)
+        with store.open_input_file(inner) as source:
+            table = pq.ParquetFile(source).read(use_threads=False)
+        _BLOCK.clear()
+        _BLOCK[path] = table
+    return _BLOCK[path]
+
+
+_BLOCK: dict[str, pa.Table] = {}
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches of a task, ``GATHERED`` bytes of them at a time, so that blocks of queries are opened seldom."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= GATHERED:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _nearest(asked: pa.Table, k: int, by: list[str], id_col: str, vector_col: str):
     """What a task does for a block of queries."""
     sizes = pc.list_value_length(asked["query"]).to_numpy(zero_copy_only=False)

@@ -1,7 +1,7 @@
 import pytest
 
 import oracle
-from kbspark.plans import catalog, catalog_code, catalog_more  # noqa: F401 (registers further queries)
+from kbspark.plans import catalog, catalog_code, catalog_more, catalog_rest  # noqa: F401 (registers further queries)
 
 SF = "/root/testdata/sf0.001"
 

@@ -167,3 +167,40 @@ def test_report_lines(spark):
     stale = spark.createDataFrame([("c", "g.md")], "query string, file_path string")
     lines = [r.line for r in render.eval_lines(evaluate.summary(each), each, shown, stale).orderBy("section", "place").collect()]
     assert lines == ["| Hit Rate | 75.0% |", "| MRR | 62.5% |", "| Graph Recall | 50.0% |", "| Provenance Accuracy | 50.0% |", "| Total Queries | 2 |", "| Stale Queries | 1 |", "| a\\|b | 50% | 100% | hits |", "| c | 100% | 0% | graph |", "- **S** expected under `f.md` — not found: c", "| c | `g.md` |"]
+
+
+def test_transitions(spark):
+    rng = random.Random(7)
+    some = ["public void setStatus(A a) {\n", "private X go (int b) {\n", " x.setStatus (S.ONE);\n", " setStatus(S.TWO, List.of(S.A, S.B));\n", " S.THREE\n", "y" * 300 + "\n", " setStatus(other)\n", "protected R setStatus("]
+    import re
+
+    for _ in range(3):
+        text = "".join(rng.choice(some) for _ in range(40))
+        pieces = re.split(r"setStatus\s*\(", text)
+        want = []
+        for k in range(1, len(pieces)):
+            ahead = "setStatus(".join(pieces[:k])
+            window = ahead[-500:] + "setStatus(" + pieces[k][:300]
+            to = re.search(r"S\.(\w+)", window)
+            listed = re.search(r"List\.of\(([^)]*)\)", window)
+            origin = " | ".join(re.findall(r"S\.(\w+)", listed[1])) if listed else ""
+            heads = re.findall(r"(?:public|private|protected)\s+\S+\s+(\w+)\s*\(", ahead)
+            want.append((to and to[1], origin or "any", heads[-1] if heads else "", ahead.count("\n") + 1))
+        got = extract.transitions(spark.createDataFrame([("a", text), ("b", text), ("c", "none"), ("d", None)], "path string, content string"), "S", "setStatus").collect()
+        key = lambda x: tuple(map(str, x))
+        assert sorted(((r.to_status, r.from_status, r.method_name, r.line) for r in got if r.path == "b"), key=key) == sorted(want, key=key)
+        assert {r.path for r in got} <= {"a", "b"}
+
+
+def test_search_with_many_blocks(spark, monkeypatch):
+    from kbspark.operators import vector
+
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["x", "y"]), [rng.uniform(-1, 1) for _ in range(4)]) for i in range(60)]
+    chunks = spark.createDataFrame(rows, "vec_id int, lang string, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(23)] + [(99, None)], "query_id int, query array<double>")
+    whole = {tuple(r[:3]) for r in vector.top_k_batch(chunks, asked, 3, None, ["lang"]).select("query_id", "vec_id", "rank").collect()}
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(vector, "GATHERED", 200)
+    assert {tuple(r[:3]) for r in vector.top_k_batch(chunks, asked, 3, None, ["lang"]).select("query_id", "vec_id", "rank").collect()} == whole and len(whole) == 23 * 6
+    assert vector.top_k_batch(chunks, asked.limit(0)).count() == 0
