@@ -66,7 +66,7 @@ def extract_buttons(spark, sf):
 
 
 @query("""SELECT 'o' || l_orderkey || '.ts' AS path, 'Api' || l_linenumber AS api, '/x/key/' || l_linenumber AS api_path, unnest([0, 1])::INTEGER AS place, unnest(['id', 'f' || l_linenumber]) AS field, unnest(['number', 'string[]']) AS type
-FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS at FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) WHERE at % 2 = 1 AND l_linenumber % 3 <> 0""")
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS nth FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) WHERE nth % 2 = 1 AND l_linenumber % 3 <> 0""")
 def extract_api_types(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct().withColumn("word", F.when(F.col("l_linenumber") % 3 == 0, "other").otherwise("key"))
     one = _joined("/** what\n * 接口路径：/x/", "word", "/", "l_linenumber", "\n */\nexport namespace Api", "l_linenumber", " {\n  export interface Req {\n    id?: number;\n    f", "l_linenumber", ": string[];\n  }\n}\n")
