@@ -105,3 +105,43 @@ def test_operators_send_the_package_themselves(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH" and not k.startswith(("SPARK_", "PYSPARK_"))}
     done = subprocess.run([sys.executable, "-c", ALONE.format(root=root, folder=tmp_path)], env=env | {"PYSPARK_PYTHON": sys.executable}, cwd=tmp_path, capture_output=True, text=True, timeout=170)
     assert "CUT 2" in done.stdout and "READ 2" in done.stdout, done.stdout + done.stderr[-2000:]
+
+
+def test_risk_against_plain_loops(spark):
+    """The risk over all rows recomputed row by row, its slope by differences, and steps that lower it."""
+    from kbspark.llm import pu_quality as pu
+
+    rng = np.random.default_rng(11)
+    p, bad = rng.normal(0.8, 1, (150, pu.N_FEATURES)), rng.normal(-0.8, 1, (150, pu.N_FEATURES))
+    x, trusted = np.concatenate([p, bad]).astype(np.float32).astype(float), np.arange(300) < 40
+    net = pu._fit(x[trusted], x, 0.5)
+    for weights in (net.w1, net.w2):
+        weights *= 0.3
+    sums = pu.parts(net, x, trusted)
+    score = [1 / (1 + np.exp(-float(net.raw(row[None])[0]))) for row in x]
+    good = np.mean([-np.log(s) for s, t in zip(score, trusted, strict=True) if t])
+    as_bad = np.mean([-np.log(1 - s) for s, t in zip(score, trusted, strict=True) if t])
+    every = np.mean([-np.log(1 - s) for s in score])
+    for prior in (0.3, 0.97):
+        risk, negative, slope = pu.risk_and_slope(sums, prior)
+        assert abs(negative - (every - prior * as_bad)) < 1e-9 and abs(risk - (prior * good + max(0, every - prior * as_bad))) < 1e-9
+
+        def along(k, eps, prior=prior, negative=negative):
+            flat = [w.copy() for w in (net.w1, net.b1, net.w2, net.b2)]
+            at = k
+            for w in flat:
+                if at < w.size:
+                    w.ravel()[at] += eps
+                    break
+                at -= w.size
+            own = pu.parts(pu.Network(net.mean, net.scale, *flat), x, trusted)
+            n_p, n_u, g, b, e = own[:5]
+            part = e / n_u - prior * b / n_p
+            return prior * g / n_p + part if negative >= 0 else -part
+
+        for k in rng.integers(0, len(slope), 12):
+            assert abs((along(k, 1e-5) - along(k, -1e-5)) / 2e-5 - slope[k]) < 1e-6
+    rows = spark.createDataFrame([(bool(t), row.astype(np.float32).tobytes()) for t, row in zip(trusted, x, strict=True)], "trusted boolean, x binary").repartition(5)
+    assert np.allclose(pu._added(rows, lambda a, t: pu.parts(net, a, t)), sums)
+    after, risks = pu.refine(net, rows, 0.3, steps=4)
+    assert risks[-1] < risks[0] and after.w1.shape == net.w1.shape
