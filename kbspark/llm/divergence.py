@@ -27,7 +27,7 @@ SCALE = 1_000_000_000
 #: A term is kept if so many documents of the language have it.
 LEAST_DOCS = 3
 #: Groups that a light term has at most; terms and groups of a tile (about); ranks of terms.
-LIGHT, TILE_TERMS, TILE_GROUPS, TOP = 4, 4096, 256, 200
+LIGHT, TILE_TERMS, TILE_GROUPS, TOP = 4, 512, 256, 200
 #: Entries that a task adds up before it passes them on.
 FLUSH = 300_000
 
