@@ -237,15 +237,18 @@ def test_store_rewrites_only_what_holds_the_keys(spark, tmp_path):
     assert own.read().filter("path in ('f7', 'f9', 'f11')").count() == 3 and own.read().count() == 1201
     own.upsert(spark.createDataFrame([(None, 1, "again")], SCHEMA))
     assert [r.text for r in own.read().filter("path is null").collect()] == ["again"]
-    small = own.manifest().filter("rows < 20").count()
-    own.compact()
-    assert own.read().count() == 1201 and own.manifest().filter("rows < 20").count() < small
+    for n in range(2):
+        own.upsert(spark.range(40).select(F.concat(F.lit(f"more{n}-"), "id").alias("path"), F.lit(n).alias("n"), F.lit("x").alias("text")))
+    files = own.manifest().count()
+    made = own.compact()
+    assert own.read().count() == 1281 and made["rewritten"] > 1 and own.manifest().count() < files
+    assert own.manifest().filter("rows < 20").groupBy("bucket").count().filter("count > 1").count() == 0
     (tmp_path / "t" / "data-unfinished").mkdir()  # a writer that died
-    assert own.read().count() == 1201
+    assert own.read().count() == 1281
     own.vacuum()
-    assert own.read().count() == 1201 and not (tmp_path / "t" / "data-unfinished").exists()
+    assert own.read().count() == 1281 and not (tmp_path / "t" / "data-unfinished").exists()
     own.upsert(spark.createDataFrame([], SCHEMA))
-    assert own.read().count() == 1201
+    assert own.read().count() == 1281
     own.rewrite(lambda df: df.filter("n < 0"))
     assert own.read().count() == 0 and own.read().columns == ["path", "n", "text"]
 
