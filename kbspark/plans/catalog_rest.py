@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..operators import chunk, extract, graph, render
@@ -116,3 +117,13 @@ def service_answers(spark, sf):
     rows = table(spark, sf, "orders")
     stats = extract.graph_stats(F.concat(F.format_number("o_orderkey", 0), F.lit(" nodes, "), F.format_number(F.col("o_custkey") + 1000000, 0), F.lit(" edges")))
     return rows.select(F.col("o_orderkey").alias("k"), extract.unfenced(_joined("\n```markdown\ntext ", "o_orderkey", "\n```\n")).alias("body"), stats["nodes"].alias("nodes"), stats["edges"].alias("edges"))
+
+
+@query("""WITH e AS (SELECT DISTINCT prev AS a, event_type AS b, 'on' || (user_id % 3) AS m FROM (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) WHERE prev IS NOT NULL),
+w AS (SELECT '    ' || a || ' --> ' || b || ': ' || m AS x, '| ' || a || ' | ' || b || ' | ' || m || ' |' AS y FROM e)
+SELECT '# events' || chr(10) || chr(10) || '```mermaid' || chr(10) || 'stateDiagram-v2' || chr(10) || string_agg(x, chr(10) ORDER BY x) || chr(10) || '```' || chr(10) || chr(10) || '| from | to | method |' || chr(10) || '|---|---|---|' || chr(10) || string_agg(y, chr(10) ORDER BY y) || chr(10) AS body, count(*) AS n FROM w""")
+def render_event_machine(spark, sf):
+    """The machine that the events' types are the states of."""
+    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    rows = table(spark, sf, "events").select(before.alias("from_status"), F.col("event_type").alias("to_status"), F.concat(F.lit("on"), (F.col("user_id") % 3).cast("string")).alias("method_name"))
+    return render.state_machine(rows.filter("from_status is not null"), "events")
