@@ -73,7 +73,7 @@ class IdEncoder:
     ``max_entries`` bounds the caches together; full ones start anew, which changes speed only.
     """
 
-    def __init__(self, path: str, max_entries: int = 600_000):
+    def __init__(self, path: str, max_entries: int = 1_200_000):
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         self.library = Tokenizer.from_file(path)
