@@ -55,6 +55,10 @@ def pack(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+#: Entries of an encoder's caches, about 200 bytes each, where nobody asks for another number.
+ENTRIES = 600_000
+
+
 class _Cache(dict):
     """Computes what it lacks; lookups of what it has stay in C."""
 
@@ -73,7 +77,7 @@ class IdEncoder:
     ``max_entries`` bounds the caches together; full ones start anew, which changes speed only.
     """
 
-    def __init__(self, path: str, max_entries: int = 1_200_000):
+    def __init__(self, path: str, max_entries: int = ENTRIES):
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         self.library = Tokenizer.from_file(path)
@@ -137,11 +141,12 @@ class IdEncoder:
         return self.heads[pieces[0]] + b"".join(map(self.tails.__getitem__, pieces[1:]))
 
 
-_ENCODERS: dict[str, IdEncoder] = {}
+_ENCODERS: dict[tuple[str, int], IdEncoder] = {}
 
 
-def encoder(path: str) -> IdEncoder:
+def encoder(path: str, max_entries: int = ENTRIES) -> IdEncoder:
     """One encoder for each Python worker, kept between its tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = IdEncoder(path)
-    return _ENCODERS[path]
+    key = path, max_entries
+    if key not in _ENCODERS:
+        _ENCODERS[key] = IdEncoder(*key)
+    return _ENCODERS[key]

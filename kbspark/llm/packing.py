@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import check_names, ship, slices, stored
-from .encoding import encoder
+from .encoding import ENTRIES, encoder
 
 #: Pieces in a partition that packs on its own: it holds a few numbers for each.
 PER_PARTITION = 50_000
@@ -28,7 +28,7 @@ PER_PARTITION = 50_000
 SHARED_BINS = 4
 
 
-def cut(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", cache_entries: int = ENTRIES) -> DataFrame:
     """The pieces of each document's ids followed by ``end_id``: doc_id, piece, start, length,
     ids_crc32 and, if asked for, ids (binary, little-endian unsigned 32-bit integers).
 
@@ -39,7 +39,7 @@ def cut(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, with_i
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer_path), struct.pack("<I", end_id)
+        encode, end = encoder(tokenizer_path, cache_entries), struct.pack("<I", end_id)
         for batch in batches:
             for part in slices(batch, "text"):
                 rows = []
@@ -195,6 +195,7 @@ def pack(pieces: DataFrame, capacity: int, per_partition: int = PER_PARTITION) -
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Cuts and packs: doc_id, piece, start, length, ids_crc32, [ids,] sequence_id, offset."""
-    return pack(cut(docs, tokenizer_path, end_id, capacity, with_ids, id_col, text_col), capacity)
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", cache_entries: int = ENTRIES) -> DataFrame:
+    """Cuts and packs: doc_id, piece, start, length, ids_crc32, [ids,] sequence_id, offset. ``cache_entries`` bounds what a
+    worker keeps of words' ids; it changes speed and memory only."""
+    return pack(cut(docs, tokenizer_path, end_id, capacity, with_ids, id_col, text_col, cache_entries), capacity)

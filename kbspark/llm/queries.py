@@ -44,7 +44,7 @@ def op3_piece_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0, capacity=2048)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0, capacity=2048, cache_entries=1_200_000)
 
 
 def op5_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
