@@ -103,10 +103,10 @@ def freshness(rows: DataFrame, now: Column) -> DataFrame:
     remote."""
     from .route import on_main_branch
 
-    elapsed = (F.unix_seconds(now) - F.unix_seconds("last_check")) / 3600
+    elapsed = F.unix_micros(now) - F.unix_micros("last_check")
     state = (
         F.when(~F.col("has_state"), "no-state")
-        .when(elapsed < FRESH_HOURS, "within-threshold")
+        .when(elapsed < FRESH_HOURS * 3_600_000_000, "within-threshold")
         .when(F.col("source").isNull(), "no-source")
         .when(~on_main_branch(F.col("branch")), "feature-branch")
         .when(~F.col("fetch_ok"), "fetch-failed")

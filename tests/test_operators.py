@@ -326,3 +326,9 @@ def test_graph_goes_as_far_as_it_reaches(spark):
     assert graph.trace(edges, "n00", "n12", depth=11).count() == 0 and graph.trace(edges, "n00", "x").count() == 0
     assert {(r.module, r.length) for r in graph.module_cycles(edges).collect()} == {(f"n{i:02}", 14) for i in range(14)}
     assert graph.module_cycles(edges, depth=13).count() == 0
+
+
+def test_freshness_counts_parts_of_a_second(spark):
+    rows = spark.sql("SELECT ts AS last_check, true AS has_state, 's' AS source, 'main' AS branch, true AS fetch_ok, 'a' AS head, 'b' AS remote FROM VALUES (TIMESTAMP '2024-01-14 12:00:00.000001'), (TIMESTAMP '2024-01-14 12:00:00'), (TIMESTAMP '2024-01-14 11:59:59.999999') t(ts)")
+    found = incremental.freshness(rows, F.to_timestamp(F.lit("2024-01-15 00:00:00"))).orderBy("last_check").select("state").collect()
+    assert [r.state for r in found] == ["behind", "behind", "within-threshold"]
