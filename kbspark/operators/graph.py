@@ -100,7 +100,9 @@ def changed_symbols(changes: DataFrame, methods: DataFrame, width: int = BIN) ->
     """
     bins = F.explode(F.sequence(F.floor(F.col("line_start") / width), F.floor(F.greatest("line_start", "line_end") / width)))
     spans = methods.select("path", "symbol", "line_start", "line_end").filter("line_start is not null and line_end is not null").withColumn("_bin", bins)
-    met = changes.select("path", "line").withColumn("_bin", F.floor(F.col("line") / width)).join(spans, ["path", "_bin"]).filter("line between line_start and line_end")
+    lines = changes.select("path", "line").withColumn("_bin", F.floor(F.col("line") / width))
+    # Neither side's size can be told before it is there (texts read, ranges dealt), so neither is sent whole.
+    met = lines.join(spans.hint("merge"), ["path", "_bin"]).filter("line between line_start and line_end")
     return met.groupBy("path", "symbol").agg(F.count("*").alias("changed_lines"))
 
 
