@@ -34,8 +34,7 @@ _ADDED = """SELECT 'src/O' || l_orderkey || '.java' AS path, l_linenumber AS n,
 
 @query(f"SELECT path, 'new' AS side, (start + 3 + i)::INTEGER AS line FROM (SELECT *, unnest(range(q)) AS i FROM ({_ADDED})) UNION ALL SELECT path, 'old', (n * 100 + 3)::INTEGER FROM ({_ADDED})")
 def diff_changed_lines(spark, sf):
-    new, old = (versioned.changes(_diffs(spark, sf).select("content"), side=s).select("path", F.lit(s).alias("side"), "line") for s in ("new", "old"))
-    return new.unionByName(old)
+    return versioned.changes(_diffs(spark, sf).select("content"), side="both")
 
 
 @query("SELECT DISTINCT l_orderkey AS commit_no, 'src/O' || l_orderkey || '.java' AS path, 'modified' AS status FROM lineitem")

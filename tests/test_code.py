@@ -149,6 +149,30 @@ def test_diff(spark):
         versioned.diff_lines(texts.withColumn("Path", F.lit(1)))
 
 
+def test_diff_reads_what_is_asked(spark):
+    texts = spark.createDataFrame([(1, DIFF), (2, "diff --git \n"), (3, None)], "commit_no int, content string")
+    both = sorted((r.path, r.side, r.line) for r in versioned.changes(texts, side="both").collect())
+    each = sorted((r.path, s, r.line) for s in ("new", "old") for r in versioned.changes(texts, side=s).collect())
+    assert both == each and len(both) == 9
+    wanted = [x for x in versioned.read_diff(DIFF) if x[4] in "+-"]
+    assert sorted(versioned.read_changes(DIFF)) == sorted((x[2], "new", x[6]) if x[4] == "+" else (x[1], "old", x[5]) for x in wanted)
+
+
+def test_short_diffs_share_record_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    taken = {}
+    texts = spark.createDataFrame([(i, DIFF) for i in range(3)], "commit_no int, content string")
+    monkeypatch.setattr(type(texts), "mapInArrow", lambda self, run, schema: taken.setdefault("run", run))
+    versioned.diff_lines(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array([DIFF] * 500)], names=["commit_no", "content"])
+    made = list(taken["run"](iter([batch])))
+    assert len(made) == 1 and made[0].num_rows == 500 * len(list(versioned.read_diff(DIFF)))
+    monkeypatch.setattr(versioned, "BATCH", 1000)
+    small = list(taken["run"](iter([batch])))
+    assert max(x.num_rows for x in small) == 1000 and pa.Table.from_batches(small).equals(pa.Table.from_batches(made).combine_chunks())
+
+
 def test_diff_takes_time_in_proportion():
     took = []
     for n in (25_000, 100_000):
@@ -173,6 +197,7 @@ def test_changed_symbols_by_bins(spark):
     got = graph.changed_symbols(spark.createDataFrame(changes, "path string, line int"), spark.createDataFrame(spans, "path string, symbol string, line_start int, line_end int"))
     want = {s: n for p, s, lo, hi in spans if p and lo and (n := sum(q == p and line is not None and lo <= line <= hi for q, line in changes))}
     assert {r.symbol: r.changed_lines for r in got.collect()} == want
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()  # no side is sent whole, however small it seems
 
 
 # -- a paged service
