@@ -28,15 +28,17 @@ ATTEMPTS = 20
 KEPT = 2
 
 
-def _positions(key: Column, words: Column) -> Column:
+def _positions(key: Column, words: Column) -> list[Column]:
     """The bits of a key in a filter of so many words, by double hashing."""
     a, b = F.hash(key).cast("long"), F.hash(key, F.lit(1)).cast("long").bitwiseOR(F.lit(1))  # in long numbers, so nothing overflows
-    return F.array(*(F.pmod(a + b * F.lit(i), words.cast("long") * 64) for i in range(HASHES)))
+    return [F.pmod(a + b * F.lit(i), words.cast("long") * 64) for i in range(HASHES)]
 
 
 def _has(bits: Column, key: Column) -> Column:
     """Whether a filter has all bits of a key; one without words may hold anything."""
-    held = F.forall(_positions(key, F.greatest(F.size(bits), F.lit(1))), lambda p: F.getbit(F.get(bits, F.floor(p / 64).cast("int")), (p % 64).cast("int")) == 1)
+    held = F.lit(True)
+    for p in _positions(key, F.greatest(F.size(bits), F.lit(1))):  # no lambda, for which a filter would be copied to each key that meets it
+        held = held & (F.getbit(F.get(bits, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")) == 1)
     return (F.size(bits) == 0) | held
 
 
@@ -82,7 +84,7 @@ class Store:
 
     def _holding(self, manifest: DataFrame, keys: DataFrame) -> list[str]:
         """Files that may hold some of the keys (columns _bucket, _key): an equality of buckets, then range and filter."""
-        met = manifest.join(keys.withColumnRenamed("_bucket", "bucket"), "bucket").filter((F.col("_key") >= F.col("lowest")) & (F.col("_key") <= F.col("highest")))
+        met = keys.withColumnRenamed("_bucket", "bucket").join(manifest.select("file", "bucket", "lowest", "highest", "bits"), "bucket").filter((F.col("_key") >= F.col("lowest")) & (F.col("_key") <= F.col("highest")))
         return [r.file for r in met.filter(_has(F.col("bits"), F.col("_key"))).select("file").distinct().collect()]
 
     def _written(self, rows: DataFrame) -> tuple[str, DataFrame | None]:
@@ -99,16 +101,18 @@ class Store:
         sums = keyed.groupBy("file", "bucket").agg(F.count("*").alias("rows"), F.min("_key").alias("lowest"), F.max("_key").alias("highest"), F.approx_count_distinct("_key").alias("keys"))
         # Ten bits for each key; the count is rounded up to a power of two, so that sizes vary little.
         sums = sums.withColumn("words", F.least(F.lit(WORDS), F.greatest(F.lit(2), F.pow(2.0, F.ceil(F.log2(F.col("keys") * 12 / 64.0 + 1)))).cast("int")))
-        bits = keyed.distinct().join(sums.select("file", "words"), "file").select("file", "words", F.explode(_positions(F.col("_key"), F.col("words"))).alias("p"))
-        word = bits.groupBy("file", "words", F.floor(F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("v"))
-        whole = word.groupBy("file", "words").agg(F.map_from_entries(F.collect_list(F.struct("w", "v"))).alias("m"))
-        filters = whole.select("file", F.transform(F.sequence(F.lit(0), F.col("words") - 1), lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("long"))).alias("bits"))
+        places = F.explode(F.array(*_positions(F.col("_key"), F.col("words"))))
+        bits = keyed.join(F.broadcast(sums.select("file", "words")), "file").select("file", places.alias("p"))  # a row for each file
+        word = bits.select("file", F.shiftright("p", 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("v"))
+        none = sums.select("file", F.explode(F.sequence(F.lit(0), F.col("words") - 1)).alias("w"), F.lit(0).cast("long").alias("v"))
+        each = word.unionByName(none).groupBy("file", "w").agg(F.bit_or("v").alias("v"))
+        filters = each.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("w", "v")))["v"].alias("bits"))
         return name, sums.join(filters, "file").select("file", "bucket", "rows", "lowest", "highest", "bits")
 
     def _commit(self, number: int, manifest: DataFrame) -> bool:
         """Publishes a version under its number; says whether the number was free."""
         aside = f"manifest/_{uuid.uuid4().hex}"
-        manifest.coalesce(1).write.parquet(f"{self.folder}/{aside}")
+        manifest.write.parquet(f"{self.folder}/{aside}")
         jvm = self.spark._jvm
         options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
@@ -150,7 +154,7 @@ class Store:
             files = self._holding(manifest, keys)
             if self.version is not None:
                 stored = self._read(files).groupBy(self._text().alias("_key")).agg(F.max(self.version).alias("_stored"))
-                rows = rows.join(stored, "_key", "left").filter(F.col("_stored").isNull() | (F.col(self.version) > F.col("_stored"))).drop("_stored")
+                rows = rows.join(stored.hint("merge"), "_key", "left").filter(F.col("_stored").isNull() | (F.col(self.version) > F.col("_stored"))).drop("_stored")
                 keys = rows.select("_bucket", "_key").distinct() if gone is None else keys
                 if gone is None:
                     if keys.isEmpty():
@@ -159,7 +163,7 @@ class Store:
             elif not files and keys.isEmpty():
                 return None
             old = self._read(files).withColumn("_key", self._text())
-            kept = old.join(keys.select("_key"), "_key", "left_anti").select(*self.schema.names)
+            kept = old.join(keys.select("_key").hint("merge"), "_key", "left_anti").select(*self.schema.names)
             return files, kept.unionByName(rows.select(*self.schema.names))
 
         return self._change(make)

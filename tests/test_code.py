@@ -249,6 +249,16 @@ def test_pages_that_never_come(spark, tmp_path):
 SCHEMA = "path string, n int, text string"
 
 
+def test_store_filters(spark, tmp_path):
+    """Each file's filter holds its keys and few others, and no lambda copies a filter to each key that meets it."""
+    own = store.Store(spark, f"file://{tmp_path}/s", "path long, content string", buckets=2)
+    own.upsert(spark.range(3000).select(F.col("id").alias("path"), F.lit("x").alias("content")))
+    pairs = spark.range(6000).select(F.concat(F.lit("="), "id").alias("k"), "id").crossJoin(own.manifest().select("file", "bits"))
+    met = pairs.filter(store._has(F.col("bits"), F.col("k")))
+    assert "lambda" not in met._jdf.queryExecution().optimizedPlan().toString()
+    assert met.filter("id < 3000").select("id").distinct().count() == 3000 and met.filter("id >= 3000").count() < 300
+
+
 def test_store_rewrites_only_what_holds_the_keys(spark, tmp_path):
     own = store.Store(spark, f"file://{tmp_path}/t", SCHEMA, buckets=8, file_rows=40)
     rows = spark.range(1200).select(F.concat(F.lit("f"), "id").alias("path"), F.col("id").cast("int").alias("n"), F.lit("x").alias("text"))
