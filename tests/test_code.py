@@ -54,6 +54,19 @@ def test_flows(spark):
     assert [tuple(r) for r in steps.orderBy("place").collect()] == [("a > c", 0, "a"), ("a > c", 1, "b"), ("a > c", 2, "c")]
 
 
+def test_flows_from_ends(spark, monkeypatch):
+    """Without a cycle, chains are found from the fewer ends; with one, or with as many ends, from the entry points."""
+    rng = random.Random(7)
+    layers = [("e", "a", 12, 4), ("a", "b", 4, 4), ("b", "z", 4, 2), ("e", "z", 12, 2), ("a", "z", 4, 2)]
+    rows = [(f"{p}{rng.randrange(n)}", f"{q}{rng.randrange(m)}") for p, q, n, m in layers for _ in range(9)] + [(f"e{i}", "a0") for i in range(12)]
+    ways, own = [], flows._from_ends
+    monkeypatch.setattr(flows, "_from_ends", lambda steps: ways.append(out := own(steps)) or out)
+    for more in ([], [("b0", "a0"), ("a0", "b0")], [("a1", "r1"), ("r1", "r2"), ("r2", "r1")]):
+        got = {(r.entry, r.end): r.path for r in flows.flows(edges_of(spark, rows + more)).collect()}
+        assert got == kept_flows(rows + more)
+    assert [w is not None for w in ways] == [True, False, False]
+
+
 # -- components
 
 def reached(rows):
