@@ -382,10 +382,10 @@ def controller_methods(files: DataFrame) -> DataFrame:
     # Methods and mappings of a file in the order of their lines: each method takes the last mapping since the one before it.
     marks = near.select("path", F.col("line").alias("at"), F.lit(0).alias("kind"), F.struct(*near.columns[1:]).alias("m"), F.lit(None).cast("struct<method_name:string,body:string>").alias("b"))
     own = bodies.select("path", F.col("line_start").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(marks.schema["m"].dataType).alias("m"), F.struct("method_name", "body").alias("b"))
+    # One window, so one sorted copy of the bodies in a task: the last mapping counts if it stands below the method before.
     before = Window.partitionBy("path").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    rows = marks.unionByName(own).withColumn("seen", F.coalesce(F.sum("kind").over(before), F.lit(0)))
-    last = F.last("m", ignorenulls=True).over(Window.partitionBy("path", "seen").orderBy("at", "kind"))
-    met = rows.withColumn("m", last).filter("kind = 1 and m is not null")
+    rows = marks.unionByName(own).withColumns({"m": F.last("m", ignorenulls=True).over(before), "prior": F.last(F.when(F.col("kind") == 1, F.col("at")), ignorenulls=True).over(before)})
+    met = rows.filter((F.col("kind") == 1) & F.col("m").isNotNull() & (F.col("prior").isNull() | (F.col("m.line") > F.col("prior"))))
     return met.filter(F.col("m.named") == F.col("b.method_name")).select("path", "m.class_name", "b.method_name", "m.http_method", "m.endpoint", "m.comment", "m.line", "b.body")
 
 

@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from kbspark.operators import components, flows, graph, incremental
+from kbspark.operators import components, extract, flows, graph, incremental
 from kbspark.sources import paged, store, versioned
 
 
@@ -316,3 +316,11 @@ def test_a_number_is_given_once(spark, tmp_path):
     own = store.Store(spark, f"file://{tmp_path}/t", SCHEMA)
     assert own._commit(1, own.manifest()) and not own._commit(1, own.manifest())
     assert not list((tmp_path / "t" / "manifest").glob("_*"))
+
+
+def test_controller_methods_sort_bodies_once(spark):
+    files = spark.createDataFrame([("A.java", 'public class A {\n  @GetMapping("/a")\n  public R load(int a) {\n    return 1;\n  }\n  private R load(int b) {\n    return 2;\n  }\n  @GetMapping("/c")\n  @PostMapping("/d")\n  public R load(int c) {\n    return 3;\n  }\n}\n')], "path string, content string")
+    found = extract.controller_methods(files)
+    assert sorted((r.endpoint, "return 1" in r.body, "return 3" in r.body) for r in found.collect()) == [("/a", True, False), ("/d", False, True)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.strip(" +-:").startswith("Window") for line in plan.splitlines()) == 1
