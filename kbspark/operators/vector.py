@@ -23,8 +23,10 @@ from ..functions.vectors import cosine, score
 from ..sources.tables import working_folder
 
 TOP_K, THRESHOLD, CROSS_PROJECT_K = 5, 0.35, 10
-#: Queries that a task compares its vectors with at a time, and bytes of vectors that it holds meanwhile.
-QUERY_BLOCK, GATHERED = 1 << 16, 64 << 20
+#: Queries of a block, and bytes of vectors that a task holds while it compares them with one block after the other.
+QUERY_BLOCK, GATHERED = 1 << 12, 16 << 20
+#: Similarities that a task computes at a time, and rows of hits that it hands on at a time.
+PAIRS, HANDED = 1 << 20, 1 << 12
 
 
 def top_k(chunks: DataFrame, query: list[float], k: int = TOP_K, threshold: float | None = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -101,67 +103,93 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch
         yield held
 
 
-def _nearest(asked: pa.Table, k: int, by: list[str], id_col: str, vector_col: str):
-    """What a task does for a block of queries."""
-    sizes = pc.list_value_length(asked["query"]).to_numpy(zero_copy_only=False)
+def _matrix(column: pa.Array, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the vectors at these places those that can be compared: place, components, square of the length."""
+    rows = np.asarray(column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False), float).reshape(-1, size)
+    with np.errstate(all="ignore"):
+        square = np.cumsum(rows * rows, axis=1)[:, -1]
+    good = np.isfinite(rows).all(axis=1) & (square > 0)
+    return at[good], rows[good], square[good]
+
+
+def _members(rows: pa.Table, by: list[str], at: np.ndarray) -> list[np.ndarray]:
+    """These places, those of each group for themselves."""
+    group = np.zeros(len(rows), np.int64)
+    for c in by:
+        code = pc.fill_null(rows[c].combine_chunks().dictionary_encode(null_encoding="encode").indices, 0).to_numpy(zero_copy_only=False)
+        group = np.unique(group * (int(code.max(initial=0)) + 1) + code, return_inverse=True)[1]
+    at = at[np.argsort(group[at], kind="stable")]
+    return [x for x in np.split(at, np.flatnonzero(np.diff(group[at])) + 1) if len(x)]
 
-    def usable(rows) -> np.ndarray:
-        return np.flatnonzero(np.isfinite(rows).all(axis=1) & (rows != 0).any(axis=1))
 
-    def matrix(column: pa.Array, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = np.asarray(column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False), float).reshape(-1, size)
-        good = usable(rows)
-        return at[good], rows[good]
+def _nearest(asked: pa.Table, k: int, by: list[str], id_col: str, vector_col: str):
+    """What a task does for a block of queries. Of hits it holds row numbers and similarities only, it compares ``PAIRS`` pairs
+    at a time, and it hands the rows on in small batches: its memory grows neither with the queries nor with the vectors."""
+    queries = asked["query"].combine_chunks()
+    sizes = pc.fill_null(pc.list_value_length(queries), 0).to_numpy(zero_copy_only=False)
 
     def run(batches):
-        import itertools
-
-        held, many = [], 0
-        queries = {}
-        for size in {int(s) for s in sizes[~np.isnan(sizes.astype(float))] if s}:
-            at, rows = matrix(asked["query"].combine_chunks(), np.flatnonzero(sizes == size), size)
-            queries[size] = at, rows, np.sqrt(np.cumsum(rows * rows, axis=1)[:, -1]), np.cumsum(rows * rows, axis=1)[:, -1]
-        most = max(1 << 16, 4 * k * len(asked))
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None:
-                length = pc.list_value_length(batch.column(vector_col)).to_numpy(zero_copy_only=False)
-                names = pa.Table.from_batches([batch]).select(by) if by else None
-                group = np.zeros(batch.num_rows, np.int64)
-                for c in by:
-                    code = pc.fill_null(names[c].combine_chunks().dictionary_encode(null_encoding="encode").indices, 0).to_numpy(zero_copy_only=False)
-                    group = np.unique(group * (int(code.max(initial=0)) + 1) + code, return_inverse=True)[1]
-                for size, (which, wanted, long, square) in queries.items():
-                    for at in (np.flatnonzero((length == size) & (group == g)) for g in np.unique(group)):
-                        at, rows = matrix(batch.column(vector_col), at, size)
-                        step = max(k, (1 << 22) // max(1, len(wanted)))
-                        for low in range(0, len(at), step):
-                            some, own = at[low : low + step], rows[low : low + step]
-                            norm = np.cumsum(own * own, axis=1)[:, -1]
-                            near = own @ wanted.T / (np.sqrt(norm)[:, None] * long[None, :])
-                            cut = np.partition(near, len(own) - k, axis=0)[len(own) - k] if len(own) > k else np.full(len(wanted), -2.0)
-                            i, q = np.nonzero(near >= cut - 1e-9)
-                            exact = np.cumsum(own[i] * wanted[q], axis=1)[:, -1] / np.sqrt(norm[i] * square[q]) if len(i) else np.zeros(0)
-                            picked = pa.Table.from_batches([batch.take(pa.array(some[i]))])
-                            picked = picked.append_column("query_id", asked["query_id"].take(pa.array(which[q]))).append_column("similarity", pa.array(exact, pa.float64()))
-                            held.append(picked)
-                            many += len(i)
-            if held and (batch is None or many > most):
-                rows = pa.concat_tables(held).sort_by([("query_id", "ascending"), *((c, "ascending") for c in by), ("similarity", "descending"), (id_col, "ascending")]).combine_chunks()
-                new = np.zeros(len(rows), bool)
-                new[:1] = True
-                for c in ("query_id", *by):
-                    code = rows[c].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-                    new[1:] |= code[1:] != code[:-1]
-                first = np.flatnonzero(new)
-                place = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
-                held = [rows.take(pa.array(np.flatnonzero(place < k)))]
-                many, most = len(held[0]), max(most, 2 * len(held[0]))
-        for rows in held:
-            yield from rows.to_batches()
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        vectors = rows[vector_col].combine_chunks()
+        length = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+        place = np.empty(len(rows), np.int64)
+        place[pc.sort_indices(rows, sort_keys=[(id_col, "ascending")], null_placement="at_start").to_numpy()] = np.arange(len(rows))
+        for size in (int(s) for s in np.unique(sizes[sizes > 0])):
+            groups, own = _members(rows, by, np.flatnonzero(length == size)), np.flatnonzero(sizes == size)
+            width = max(1, PAIRS // max(8 * k, size))
+            for low in range(0, len(own), width):
+                which, wanted, square = _matrix(queries, own[low : low + width], size)
+                for at in groups if len(which) else ():
+                    q, row, similarity = _best(vectors, at, place, wanted, square, k)
+                    for i in range(0, len(q), HANDED):
+                        picked = rows.take(pa.array(row[i : i + HANDED]))
+                        picked = picked.append_column("query_id", asked["query_id"].take(pa.array(which[q[i : i + HANDED]])))
+                        yield from picked.append_column("similarity", pa.array(similarity[i : i + HANDED], pa.float64())).to_batches()
 
     return run
 
 
+def _best(vectors: pa.Array, at: np.ndarray, place: np.ndarray, wanted: np.ndarray, square: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, row and similarity of the best k of these rows for each query; place: the rows' order among equals. A row that is
+    further off than k others so far is dropped at once."""
+    size = wanted.shape[1]
+    unit, floor = wanted / np.sqrt(square)[:, None], np.full(len(wanted), -np.inf)
+    held, many, step = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0, max(k, PAIRS // max(len(wanted), size))
+
+    def cut() -> None:
+        q, row, similarity = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((place[row], -similarity, q))
+        q, row, similarity = q[order], row[order], similarity[order]
+        nth = np.arange(len(q)) - np.searchsorted(q, q)
+        held[:] = [(q[nth < k], row[nth < k], similarity[nth < k])]
+        floor[q[nth == k - 1]] = similarity[nth == k - 1]
+
+    for low in range(0, len(at), step):
+        some, own, norm = _matrix(vectors, at[low : low + step], size)
+        if not len(some):
+            continue
+        near = unit @ (own / np.sqrt(norm)[:, None]).T
+        found = near >= floor[:, None] - 1e-9
+        with np.errstate(all="ignore"):  # beyond this the products tell nothing of the similarities, and may not pick
+            plain = norm.min() * square.min() > 1e-290 and norm.max() * square.max() < np.inf
+        if plain and len(some) > k and np.count_nonzero(found) > 2 * k * len(wanted):
+            found &= near >= np.partition(near, len(some) - k, axis=1)[:, len(some) - k, None] - 1e-9
+        q, i = np.nonzero(found)
+        part = max(1, PAIRS // size)
+        for first in range(0, len(q), part):
+            a, b = q[first : first + part], i[first : first + part]
+            with np.errstate(all="ignore"):
+                exact = np.cumsum(own[b] * wanted[a], axis=1)[:, -1] / np.sqrt(norm[b] * square[a])
+            good = np.isfinite(exact) & (exact >= floor[a])
+            held.append((a[good], some[b[good]], exact[good]))
+            many += np.count_nonzero(good)
+            if many >= k * len(wanted):
+                cut()
+                many = 0
+    cut()
+    return held[0]
+
+
 def merge_collections(hits: DataFrame, k: int = TOP_K, threshold: float = THRESHOLD, id_col: str = "vec_id") -> DataFrame:
     """Best k over collections of hits that each collection's search has found."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("similarity"), F.asc(id_col))

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from ..operators import evaluate, extract, graph, hierarchy, render, requirements, vector
 from ..sources import indented, paged, versioned
 from ..sources.store import Store
-from ..sources.tables import table, working_folder
+from ..sources.tables import settled, table, working_folder
 from .catalog import _EVAL, _RANKED, _asked, _eval_rows, _fk_edges, query
 
 # -- version control
@@ -197,7 +197,9 @@ SELECT 1 AS section, unnest(['| Hit Rate | ' || printf('%.1f', h) || '% |', '| M
 UNION ALL SELECT 2, '| ' || query || ' | ' || printf('%.0f', hit_rate * 100) || '% | 100% | hits |' FROM r WHERE hit_rate < 1
 UNION ALL SELECT 3, '- **S** expected under `f.md` — not found: ' || query FROM r WHERE query::BIGINT % 100 = 0 UNION ALL SELECT 4, '| ' || query || ' | `gone.md` |' FROM r WHERE query::BIGINT % 40 = 0""")
 def eval_report_lines(spark, sf):
+    """The rows are written once: each section would search again."""
     each = _eval_rows(spark, sf).select("query_id", F.col("query_id").cast("string").alias("query"), evaluate.hit_rate(F.col("expected"), F.col("actual")).alias("hit_rate"), evaluate.reciprocal_rank(F.col("expected"), F.col("actual")).alias("mrr"), F.lit(1.0).alias("graph_recall"), F.lit(None).cast("double").alias("provenance"), (F.col("query_id") % 40 == 0).alias("stale"))
+    each = settled(each)
     shown = each.filter("query_id % 100 = 0").select("query", F.lit("S").alias("symbol"), F.lit("f.md").alias("from_file"), F.lit(False).alias("ok"))
     gone = each.filter("stale").select("query", F.lit("gone.md").alias("file_path"))
     return render.eval_lines(evaluate.summary(each), each, shown, gone).select("section", "line")

@@ -1,7 +1,10 @@
 """Edge cases that the tables do not hold."""
 
 import math
+import os
 import random
+import subprocess
+import sys
 import time
 
 from pyspark.sql import functions as F
@@ -332,3 +335,58 @@ def test_freshness_counts_parts_of_a_second(spark):
     rows = spark.sql("SELECT ts AS last_check, true AS has_state, 's' AS source, 'main' AS branch, true AS fetch_ok, 'a' AS head, 'b' AS remote FROM VALUES (TIMESTAMP '2024-01-14 12:00:00.000001'), (TIMESTAMP '2024-01-14 12:00:00'), (TIMESTAMP '2024-01-14 11:59:59.999999') t(ts)")
     found = incremental.freshness(rows, F.to_timestamp(F.lit("2024-01-15 00:00:00"))).orderBy("last_check").select("state").collect()
     assert [r.state for r in found] == ["behind", "behind", "within-threshold"]
+
+
+MANY_QUERIES = """
+import resource
+
+import numpy as np
+import pyarrow as pa
+
+from kbspark.operators import vector
+
+v = np.random.default_rng(9).normal(size=(12000, 4)).round(2)
+v[(v == 0).all(axis=1)] = 1
+lists = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, 4, dtype=np.int32)), pa.array(v.ravel()))
+rows = pa.RecordBatch.from_arrays([pa.array(np.arange(len(v))), lists], ["vec_id", "embedding"])
+asked = pa.table({"query_id": np.arange(len(v)), "query": lists})
+start, found, most = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, {}, 0
+for out in vector._nearest(asked, 5, [], "vec_id", "embedding")(iter([rows])):
+    most = max(most, out.nbytes)
+    for q, i in zip(out.column("query_id").to_numpy(), out.column("vec_id").to_numpy()):
+        if q % 1000 == 0:
+            found.setdefault(int(q), []).append(int(i))
+held = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - start
+unit = v / np.sqrt((v * v).sum(axis=1))[:, None]
+for q in range(0, len(v), 1000):
+    near = unit @ unit[q]
+    assert len(found[q]) == 5 and near[found[q]].min() >= np.sort(near)[-5] - 1e-9
+assert most < 1 << 20 and held < 150 << 10, (most, held)
+print("RIGHT", most, held)
+"""
+
+
+def test_batch_search_holds_no_more_for_more_queries():
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", MANY_QUERIES], env=os.environ | {"PYTHONPATH": root, "OMP_NUM_THREADS": "1"}, capture_output=True, text=True, timeout=170)
+    assert "RIGHT" in done.stdout, done.stderr[-2000:]
+
+
+def test_batch_search_among_copies(spark):
+    rows = spark.createDataFrame([(i, [float(i % 3 == 0), 1.0], i % 2) for i in range(600)], "vec_id long, embedding array<float>, half int").repartition(3)
+    asked = rows.filter("vec_id < 4").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    for by in (None, ["half"]):
+        for k in (2, 250, 900):
+            got = {(r.query_id, r.half if by else 0, r["rank"]): r.vec_id for r in vector.top_k_batch(rows, asked, k, None, by).collect()}
+            want = {}
+            for q in range(4):
+                for half in (0, 1) if by else (0,):
+                    order = sorted((i for i in range(600) if not by or i % 2 == half), key=lambda i: ((i % 3 == 0) != (q % 3 == 0), i))
+                    want.update({(q, half, n + 1): i for n, i in enumerate(order[:k])})
+            assert got == want
+
+
+def test_batch_search_beside_huge_vectors(spark):
+    rows = spark.createDataFrame([(i, [1e200, 1e200] if i % 2 else [-1.0, 0.0]) for i in range(40)], "vec_id long, embedding array<double>").coalesce(1)
+    asked = spark.createDataFrame([(9, [1e150, 1.0])], "query_id long, query array<double>")
+    assert [r.vec_id for r in vector.top_k_batch(rows, asked, 3, None).orderBy("rank").collect()] == [0, 2, 4]
